@@ -51,3 +51,27 @@ def crc_mod(id_col: Column, n: int) -> Column:
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the limit; otherwise the planner's shuffle join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_chars: int, held_out: tuple[int, tuple[int, ...]], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
+    """Up to per_class documents of each of the labels 0 and 1, in the order of a hash of the id, as (id, whole text, label).
+
+    Documents of over max_chars characters are not sampled, so at most 2 * per_class * max_chars characters are gathered.
+    held_out = (n, remainders): ids whose crc32 modulo n is one of these are left out."""
+    n, out = held_out
+    clean = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1))
+    clean = clean.where(~crc_mod(F.col("_id"), n).isin(*out, -1)).groupBy("_id").agg(F.max("_label").alias("_label"))
+    order = F.xxhash64(F.col("_id"), F.lit("sample"))
+    ids = None
+    for label in (0, 1):
+        own = clean.where(F.col("_label") == label).orderBy(order, "_id").limit(2 * per_class)
+        ids = own if ids is None else ids.unionByName(own)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= max_chars)
+    # at most 4 * per_class ids
+    found = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = found.select("_id", "_text", "_label", order.alias("_order")).collect()
+    taken: list[tuple[int, str, int]] = []
+    for label in (0, 1):
+        own = sorted((r for r in rows if r["_label"] == label), key=lambda r: (r["_order"], r["_id"]))[:per_class]
+        taken += [(r["_id"], r["_text"], label) for r in own]
+    return taken
