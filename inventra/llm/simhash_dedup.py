@@ -7,7 +7,7 @@ the points are shuffled, and fingerprints that meet in a point are linked after
 What keeps it bounded: equal fingerprints are merged first, so one point is met by no more fingerprints than its ball
 holds (2,081 for radius 4); points travel packed, eight bytes each, in one binary row for each bucket and block of fingerprints;
 buckets grow in number with the fingerprints; and the point space is shuffled in `rounds` parts (a power of two), whose shuffle files are
-dropped one after the other. Within a point only links to its first fingerprint are made, not all pairs: fingerprints that share a point are
+dropped one after the other. Within a point only links to its smallest fingerprint are made, and of a task's links a spanning forest is kept, not all pairs: fingerprints that share a point are
 within the radius of one another. Components are then found by distributed contraction (see components()).
 
 Defined cases: null or empty text, or a text without words, has fingerprint 0 and is linked like any other; texts of fewer
@@ -115,7 +115,7 @@ def packed_points(fps: DataFrame, half: int, bits: int, part: int, parts: int) -
 
 
 def bucket_links(bucket: int, blobs: list[bytes], bits: int, masks: np.ndarray, radius: int) -> np.ndarray:
-    """(n, 2) of the fingerprints that meet in a point of this bucket, linked to the point's first; verified, each pair once."""
+    """(n, 2) of the fingerprints that meet in a point of this bucket, linked to the point's smallest; verified, each pair once."""
     points = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
     points.sort()
     low = points >> np.uint64(12)
@@ -128,9 +128,9 @@ def bucket_links(bucket: int, blobs: list[bytes], bits: int, masks: np.ndarray,
         mixed = (np.uint64(bucket >> (bits - 12)) << np.uint64(52)) | low
         fps = (mixed * _UNDO) ^ masks[(points & np.uint64(0xFFF)).astype(np.int64)]
     starts = np.flatnonzero(new)
-    first = np.repeat(fps[starts], np.diff(np.append(starts, len(fps))))
+    first = np.repeat(np.minimum.reduceat(fps, starts), np.diff(np.append(starts, len(fps))))
     linked = (first != fps) & (np.bitwise_count(first ^ fps) <= radius)
-    a, b = np.minimum(first, fps)[linked], np.maximum(first, fps)[linked]
+    a, b = first[linked], fps[linked]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     fresh = np.ones(len(a), bool)
@@ -138,6 +138,24 @@ def bucket_links(bucket: int, blobs: list[bytes], bits: int, masks: np.ndarray,
     return np.stack([a[fresh], b[fresh]], 1)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """As few of the pairs as connect what all of them connect."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(pairs.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(i)
+    return pairs[kept]
+
+
 def links(fps: DataFrame, n_fps: int, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): a set of pairs of distinct fingerprints within the radius that connects all that are."""
     spark = fps.sparkSession
@@ -153,7 +171,7 @@ def links(fps: DataFrame, n_fps: int, radius: int = RADIUS, rounds: int = ROUNDS
         name, held, found = None, [], []
 
         def out() -> pa.RecordBatch:
-            both = np.concatenate(found).view(np.int64)
+            both = forest(np.concatenate(found)).view(np.int64)
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
