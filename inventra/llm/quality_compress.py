@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled text. A text is cut into chunks, each
 compressed with both; how much larger the whole is with the bad dictionary, over its length, is the normalised
-compressed-size difference. Chunks are short so that a long text cannot serve as its own dictionary. A logistic curve, fitted on labelled
+compressed-size difference. Chunks are short so that a long text cannot serve as its own dictionary. A monotone curve, fitted on labelled
 documents that neither dictionary has seen, turns the difference into a probability.
 
 Labels are learned from a bounded sample (PER_CLASS documents of a label, of MAX_CHARS characters at most, whole).
@@ -38,8 +38,8 @@ THRESHOLD = 0.3
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    knots: list[float]
+    values: list[float]
 
 
 def _compressors(model: Model) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
@@ -69,20 +69,24 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(chunks)[-DICT_BYTES:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """(slope, offset) by Newton's method on standardised x."""
-    mean, std = float(x.mean()), float(x.std()) or 1.0
-    a = np.stack([(x - mean) / std, np.ones(len(x))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * len(x) * np.array([w[0], 0]) * 0.01
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(2) * (ridge + 1e-9)
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0] / std), float(w[1] - w[0] * mean / std)
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: int = 15) -> tuple[list[float], list[float]]:
+    """Monotone calibration: pooled adjacent violators over steps of at least so many documents, as knots to interpolate between."""
+    order = np.argsort(x, kind="stable")
+    x, y, weight = x[order], y[order], weight[order]
+    pools: list[list[float]] = []  # sum of weights, of weighted labels, of weighted x
+    for at in range(0, len(x), least):
+        own = slice(at, at + least)
+        w = weight[own]
+        pools.append([w.sum(), (w * y[own]).sum(), (w * x[own]).sum()])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    low = 0.5 / weight.sum() * weight.mean()
+    knots = [p[2] / p[0] for p in pools]
+    values = [min(1 - low, max(low, p[1] / p[0])) for p in pools]
+    # beyond the outer knots the score goes on to 0 and 1
+    span = max(1e-6, float(x[-1] - x[0]))
+    return [knots[0] - span, *knots, knots[-1] + span], [values[0] / 2, *values, (1 + values[-1]) / 2]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -90,20 +94,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good, bad = ([t.encode() for _, t, y in sample if y == label] for label in (1, 0))
     if len(good) < 2 or len(bad) < 2:
         share = (len(good) + 1e-9) / (len(good) + len(bad) + 1e-9)
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(b"good", b"bad", 0.0, float(np.log(share / (1 - share))))
+        return Model(b"good", b"bad", [0.0], [share])
     # every second document for the dictionaries, the others for the curve
-    model = Model(_dictionary(good[::2]), _dictionary(bad[::2]), 1.0, 0.0)
+    model = Model(_dictionary(good[::2]), _dictionary(bad[::2]), [], [])
     both = _compressors(model)
     x = np.array([difference(t, *both) for own in (good[1::2], bad[1::2]) for t in own])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
-    slope, offset = _logistic(x, y)
-    return model._replace(slope=slope, offset=offset)
+    # the sample has as many of each label as it can; the curve is for their shares among all labels
+    n, out = HELD_OUT
+    seen = labels.where(~crc_mod(F.col(id_col), n).isin(*out, -1)).groupBy(F.col("quality").cast("int").alias("q")).count().where(F.col("q").isin(0, 1))
+    share = {r["q"]: r["count"] for r in seen.collect()}
+    weight = np.where(y == 1, share[1] / len(good[1::2]), share[0] / len(bad[1::2]))
+    knots, values = _curve(x, y, weight / weight.mean())
+    return model._replace(knots=knots, values=values)
 
 
 def _scores(texts: list[bytes | None], model: Model, both: tuple) -> np.ndarray:
     x = np.array([difference(t, *both) for t in texts])
-    return 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
+    return np.interp(x, model.knots, model.values)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
