@@ -1,0 +1,94 @@
+"""File trees as inventories, archives and text, and sinks."""
+
+from __future__ import annotations
+
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inventra.functions.paths import parent
+from inventra.operators.inventory import sniff
+
+
+def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(source_root, relative_path, name, suffix, dir, size_bytes, modified_at, mime, full_hash) of every file below root. Listing is parallel, the
+    digest and the sniffed type are built-ins; content is read only if a column that needs it is used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    path = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    base = "/" + base.lstrip("/")
+    df = reader.load(root).select(F.lit(root).alias("source_root"), F.substring(path, len(base) + 1, 100_000).alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("modified_at"), "content")
+    name = F.substring_index("relative_path", "/", -1)
+    return df.select("source_root", "relative_path", name.alias("name"), F.lower(F.regexp_extract(name, "([.][^.]*)$", 1)).alias("suffix"), parent("relative_path").alias("dir"), "size_bytes", "modified_at", sniff("content").alias("mime"), F.sha2("content", 256).alias("full_hash"))
+
+
+def _safe(name: str) -> bool:
+    return not (name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/") or ":" in name[:3])
+
+
+def archive_members(spark: SparkSession, root: str, most_members: int = 100_000) -> DataFrame:
+    """(path, status, members, unsafe, total_bytes, nested, manifest) of every zip and tar below root; nothing is unpacked to disk."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").rlike("[.](zip|tar|tar[.]gz|tgz)$")).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    if path.lower().endswith(".zip"):
+                        with zipfile.ZipFile(io.BytesIO(content)) as z:
+                            found = [(i.filename, i.file_size) for i in z.infolist() if not i.is_dir()]
+                    else:
+                        with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                            found = [(i.name, i.size) for i in t if i.isfile()]
+                    names = sorted(n for n, _ in found)
+                    status = "TOO_MANY" if len(found) > most_members else "UNSAFE" if not all(map(_safe, names)) else "OK"
+                    nested = sum(n.lower().endswith((".zip", ".tar", ".gz", ".tgz")) for n in names)
+                    rows.append((path, status, len(found), sum(not _safe(n) for n in names), sum(s for _, s in found), nested, hashlib.sha256("\n".join(names).encode()).hexdigest()))
+                except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as e:
+                    rows.append((path, f"ERROR: {type(e).__name__}", 0, 0, 0, 0, None))
+            yield pd.DataFrame(rows, columns=["path", "status", "members", "unsafe", "total_bytes", "nested", "manifest"])
+
+    return files.mapInPandas(run, "path string, status string, members long, unsafe long, total_bytes long, nested long, manifest string")
+
+
+def folded(text: pd.Series) -> pd.Series:
+    """NFKC and case folding, which have no built-in."""
+    import unicodedata
+
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def tabular_digest(csv: pd.Series) -> pd.Series:
+    """Digest of stripped cells in order, whatever their delimiter or quoting."""
+    import csv as reader
+    import hashlib
+
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        tab = x.count("\t") > x.count(",")
+        rows = reader.reader(io.StringIO(x), delimiter="\t" if tab else ",")
+        return hashlib.sha256("\x1e".join("\x1f".join(c.strip() for c in r) for r in rows if r).encode()).hexdigest()
+
+    return csv.map(one)
+
+
+def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
+    """Writes a report; an existing one is never overwritten."""
+    writer = df.write.mode("errorifexists")
+    if form == "csv":
+        writer.option("header", True).csv(path)
+    elif form == "jsonl":
+        writer.json(path)
+    else:
+        writer.format(form).save(path)
