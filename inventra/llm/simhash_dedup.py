@@ -248,9 +248,52 @@ def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: in
     return each.join(of_fp, "fp").select("id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each component; of repeated rows of that id, one."""
-    kept = classes(docs, size, radius, seed, rounds, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
-    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    left = each.join(kept.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return left.dropDuplicates(["_id"]).select("_row.*")
+def _remixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """The hashes themselves in view 0, else as if of another hash function."""
+    if not view:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes ^ (np.uint64(view) * _ODD)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def dedup(docs: DataFrame, size: int = 2, views: int = 6, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the smallest id.
+
+    A copy with a few edits is within 4 bits of its original only now and then, so several independent fingerprints (views) are taken, of
+    two-word shingles by default, and documents that are linked in any of them are in one group. Rows without an id stay; of several rows of the
+    id that stays, one stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                h = shingle_hashes(t, size, seed)
+                fps.append([fingerprint(_remixed(h, v)) for v in range(views)])
+            flat = pa.array(np.array(fps, np.uint64).view(np.int64).reshape(-1))
+            cut = pa.array(np.arange(0, len(fps) * views + 1, views, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(cut, flat)], ["id", "fps"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    named = docs.where(F.col(id_col).isNotNull())
+    each = named.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fps array<long>")
+    # documents that agree in all views are one node, named by its smallest id
+    nodes = staged(each.groupBy("fps").agg(F.min("id").alias("node")), "nodes")
+    edges = None
+    for v in range(views):
+        own = nodes.select("node", F.col("fps")[v].alias("fp"))
+        reps = staged(own.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+        n = reps.count()
+        near = links(reps.select("fp").repartition(max(12, n // (8 * BLOCK))), n, radius, rounds)
+        ra, rb = (reps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
+        linked = near.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        same = own.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        both = linked.unionByName(same)
+        edges = both if edges is None else edges.unionByName(both)
+    roots = components(edges.distinct()).where("node <> root").select("node")
+    kept = staged(nodes.select("node").join(roots, "node", "left_anti"), "kept").select(F.col("node").alias("_kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
+    left = rows.where(F.col("_id").isNotNull()).join(kept.hint("shuffle_hash"), F.col("_id") == F.col("_kept"), "left_semi")
+    return left.dropDuplicates(["_id"]).select("_row").unionByName(rows.where(F.col("_id").isNull()).select("_row")).select("_row.*")
