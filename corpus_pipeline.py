@@ -23,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: five-word shingles."""
-    return simhash_dedup.dedup(docs, size=5)
+    """One document of each group of exact and near copies."""
+    return simhash_dedup.dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
