@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-1. Words that mark toxic documents of a labelled sample (log-odds, significance) are dealt to LEXICONS lexicon voters; pattern
+1. Words and stems that mark toxic documents of a labelled sample (log-odds, significance) are dealt to LEXICONS lexicon voters; pattern
    voters look at how such words are used (several of them, dense, after an address, shouted, quoted by '!', none at all).
 2. All documents that are not held out vote; the votes of a document are one bit pattern, and the counts of
    the patterns, of which there are 2 ** VOTERS at most, are the only thing that is gathered.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, labelled_sample
+from .simhash_dedup import fingerprint, shingle_hashes
 
 PER_CLASS = 2500
 MAX_CHARS = 20_000
@@ -38,6 +39,13 @@ PATTERNS = ("several", "dense", "addressed", "shouted", "none", "repeated")
 VOTERS = LEXICONS + len(PATTERNS)
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
+#: Lengths of stems, and the mark that ends a whole word.
+STEMS = (4, 5, 6, 7, 8)
+END = "$"
+#: Bits in which the fingerprints of near copies differ at most.
+COPY_BITS = 10
+#: Log-likelihood ratio that an entry must add.
+LEAST_GAIN = 18.0
 
 
 class Model(NamedTuple):
@@ -47,40 +55,82 @@ class Model(NamedTuple):
     voters: dict
 
 
+def _entries(word: str) -> list[str]:
+    """Lexicon entries that a word may match: itself (marked by its end) and its stems."""
+    return [word + END, *(word[:n] for n in STEMS if n < len(word))]
+
+
+def _copy_groups(texts: Sequence[str]) -> list[int]:
+    """Of each text the first that it is a near copy of, by two-word SimHash; for a sample."""
+    fps = np.array([fingerprint(shingle_hashes(t.encode(), 2, 42)) for t in texts], np.uint64)
+    group = list(range(len(texts)))
+    for i in range(1, len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= COPY_BITS)
+        if len(near):
+            group[i] = group[int(near[0])]
+    return group
+
+
 def mine_lexicon(sample: Sequence[tuple[int, str, int]], most: int = LEXICON_WORDS) -> dict[str, int]:
-    """word -> rank, of the words that mark the label 1."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    for _, text, label in sample:
-        n[label] += 1
-        seen[label].update(set(_WORD.findall(text.lower())))
-    if not n[0] or not n[1]:
+    """entry -> rank, of the words and stems that mark the label 1 (log-likelihood ratio and log-odds). Languages coin new words from the
+    stem of an abusive one, so a stem is an entry too. Near copies count once, else their rare words would be marks."""
+    own = lambda text: {e for w in set(_WORD.findall(text.lower())) if len(w) > 1 for e in _entries(w)}
+    toxic, clean = [t for _, t, y in sample if y], [t for _, t, y in sample if not y]
+    if not toxic or not clean:
         return {}
-    found = []
-    for word, a in seen[1].items():
-        if a < max(3, 0.01 * n[1]) or len(word) < 2:
+    group = _copy_groups(toxic)
+    n1, n0 = len(set(group)), len(clean)
+    count = Counter(e for g, e in {(g, e) for t, g in zip(toxic, group, strict=True) for e in own(t)})
+    holders: dict[str, set[int]] = {e: set() for e, c in count.items() if c >= max(3, 0.005 * n1)}
+    del count
+    for text, g in zip(toxic, group, strict=True):
+        for e in own(text) & holders.keys():
+            holders[e].add(g)
+    seen = Counter(e for t in clean for e in own(t) & holders.keys())
+
+    def ratio(a: int, b: int) -> float:
+        if a < 3 or np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5)) < 3.0:
+            return 0.0
+        t = n0 + n1
+        table = ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, t - a - b), (n0 - b, n0, t - a - b))
+        return round(2 * sum(o * np.log(o * t / (r * c)) for o, r, c in table if o), 6)
+
+    kept: list[str] = []
+    # of equals the longest, which is the most specific
+    for _, _, entry in sorted((-ratio(len(h), seen[e]), -len(e), e) for e, h in holders.items()):
+        if len(kept) == most or ratio(len(holders[entry]), seen[entry]) < LEAST_GAIN:
+            break
+        if any(entry.startswith(k) for k in kept):
             continue
-        b = seen[0][word]
-        odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (b + 0.5) + 1 / (n[0] - b + 0.5))
-        if odds > 2.5 and z > 4:
-            found.append((-z, word))
-    return {w: i for i, (_, w) in enumerate(sorted(found)[:most])}
+        # a stem must add to the words of it that are entries
+        rest = holders[entry].difference(*(holders[k] for k in kept if k.startswith(entry)))
+        if ratio(len(rest), seen[entry]) >= LEAST_GAIN:
+            kept.append(entry)
+    return {e: i for i, e in enumerate(kept)}
+
+
+def _rank(word: str, lexicon: dict[str, int]) -> int | None:
+    for e in _entries(word):
+        r = lexicon.get(e)
+        if r is not None:
+            return r
+    return None
 
 
 def observe(text: str | None, lexicon: dict[str, int]) -> tuple[int, list[int]]:
-    """(votes as bits, ranks of the lexicon words found, once each)."""
+    """(votes as bits, ranks of the lexicon entries found, once each)."""
     none = 1 << (LEXICONS + PATTERNS.index("none"))
     if not text:
         return none, []
     lower = _WORD.findall(text.lower())
-    if lexicon.keys().isdisjoint(lower):
+    found = {w: r for w in set(lower) if (r := _rank(w, lexicon)) is not None}
+    if not found:
         return none, []
-    at = [i for i, w in enumerate(lower) if w in lexicon]
+    at = [i for i, w in enumerate(lower) if w in found]
     words = _WORD.findall(text)
     if len(words) != len(lower):  # lower-casing can split or join words of a few scripts
         words = lower
-    ranks = [lexicon[lower[i]] for i in at]
+    ranks = [found[lower[i]] for i in at]
     votes = 0
     for r in ranks:
         votes |= 1 << (r % LEXICONS)
