@@ -36,6 +36,8 @@ ROUNDS = 4
 BUCKET_POINTS = 4_000_000
 #: Up to so many points are shuffled in one round.
 SMALL_POINTS = 30_000_000
+#: Links that one task merges.
+MERGE_PAIRS = 500_000
 #: Fingerprints that are expanded at once.
 BLOCK = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -158,7 +160,6 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 
 def links(fps: DataFrame, n_fps: int, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): a set of pairs of distinct fingerprints within the radius that connects all that are."""
-    spark = fps.sparkSession
     masks = ball(radius // 2)
     if len(masks) > 4096:
         raise ValueError("a radius of over 5 bits makes balls too large to emit")
@@ -166,14 +167,14 @@ def links(fps: DataFrame, n_fps: int, radius: int = RADIUS, rounds: int = ROUNDS
     bits = min(28, max(12, int(np.ceil(np.log2(max(1, points / BUCKET_POINTS))))))
     rounds = 1 if points <= SMALL_POINTS else rounds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's buckets come sorted, so one is held at a time."""
         name, held, found = None, [], []
 
         def out() -> pa.RecordBatch:
-            both = forest(np.concatenate(found)).view(np.int64)
+            both = forest(np.concatenate(found))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary()), pa.array([len(both)], pa.int64())], ["pairs", "n"])
 
         for b in batches:
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("points").to_pylist(), strict=True):
@@ -189,20 +190,20 @@ def links(fps: DataFrame, n_fps: int, radius: int = RADIUS, rounds: int = ROUNDS
         if found:
             yield out()
 
-    found = []
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [np.frombuffer(x, np.uint64).reshape(-1, 2) for b in batches for x in b.column("pairs").to_pylist()]
+        if both:
+            kept = forest(np.concatenate(both)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["a", "b"])
+
+    found = None
     for part in range(rounds):
         dealt = packed_points(fps, radius // 2, bits, part, rounds).repartition(F.col("bucket")).sortWithinPartitions("bucket")
-        spark.conf.set(key, "true")
-        try:
-            found.append(staged(dealt.mapInArrow(run, "a long, b long").distinct(), "links"))
-        finally:
-            spark.conf.set(key, before)
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return every.distinct() if rounds > 1 else every
+        own = staged(dealt.mapInArrow(meet, "pairs binary, n long"), "links")
+        found = own if found is None else found.unionByName(own)
+    # a group of many near copies meets in every task: the forests of all tasks are merged, so many pairs at a time, before they are rows
+    pairs = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return staged(found.repartition(max(1, -(-pairs // MERGE_PAIRS))).mapInArrow(merge, "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
