@@ -13,6 +13,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: The same as a literal inside a SQL expression, where backslashes are doubled.
 WORD_SQL = "'" + WORD.replace("\\", "\\\\") + "'"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,10 +34,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     recomputation, and every later use sees the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/inventra/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write go as soon as it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions, as a table in one small file does; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def delete_staged(spark: SparkSession) -> None:
     """Removes every staged table of the shared folder; call it when no result that reads them is still needed."""
     jvm = spark.sparkContext._jvm
