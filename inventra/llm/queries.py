@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, langid, line_dedup, mixing, quality_compress, quality_rules, quotation, simhash_dedup, toxicity
 from .sql import ORACLES  # noqa: F401
-from .common import table
+from .common import spread
+from .common import table as read_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, name))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
