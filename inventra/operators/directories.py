@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inventra.functions.paths import ancestors, parent, segments
+from inventra.operators.graph import staged
 
 #: Files that mark a project, by kind; and directories that hold generated files or environments.
 DEPENDENCY_SPECS = ("pyproject.toml", "requirements.txt", "requirements-dev.txt", "environment.yml", "environment.yaml", "Pipfile", "package.json", "Cargo.toml", "go.mod")
@@ -43,7 +44,8 @@ def set_overlap(members: DataFrame, group: str, item: str, most_groups: int = 64
     """(a, b, shared, size_a, size_b, containment, jaccard) of groups that share an item held by at most most_groups groups, and reach the
     containment of the smaller in the larger. The pairs come from an inverted index whose fan-out the cap bounds (a parameter, as a
     very common item says nothing about kinship); shared counts are over all items."""
-    sets = members.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col("i").isNotNull()).distinct()
+    # read six times below, so written once
+    sets = staged(members.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col("i").isNotNull()).distinct())
     sizes = sets.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= least_items)
     sets = sets.join(sizes.select("g"), "g", "left_semi")
     spread = sets.groupBy("i").agg(F.count("*").alias("holders")).where((F.col("holders") >= 2) & (F.col("holders") <= most_groups))

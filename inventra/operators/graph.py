@@ -17,7 +17,13 @@ def staged(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="inventra-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/inventra/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")  # the shuffle files of this write go as soon as it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from inventra.operators import descriptors as de
 from inventra.operators import similarity as sm
 from inventra.operators import versions as ve
 from inventra.plans.registry import query
-from inventra.sources.bindings import CHUNKS, ENTRIES, chunks, descriptors, entries, table
+from inventra.sources.bindings import CHUNKS, ENTRIES, chunks, descriptors, entries, spread, table
 
 _TOK = r"tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)"
 _SH = rf"""{_TOK}, sh AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM tok WHERE len(t) >= 20))"""
@@ -26,29 +26,29 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SH} SELECT doc_id, count(*) AS shingles FROM sh GROUP BY 1")
 def shingle_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.shingles(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("shingles"))
+    return sm.shingles(spread(table(spark, sf, "documents"))).groupBy("doc_id").agg(F.count("*").alias("shingles"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS confidence, CASE WHEN jaccard >= 0.95 THEN 'NEAR_DUPLICATE_DOCUMENT' ELSE 'TEXTUALLY_SIMILAR' END AS type, 5 AS tier FROM j WHERE jaccard >= 0.8")
 def near_duplicate_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of exact Jaccard similarity 0.8 or more: a superset of what sketches find."""
-    return sm.near_duplicates(table(spark, sf, "documents"))
+    return sm.near_duplicates(spread(table(spark, sf, "documents")))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, shared, size_a, size_b, jaccard FROM j WHERE jaccard >= 0.5")
 def exact_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    p = sm.jaccard_pairs(sm.shingles(table(spark, sf, "documents")), 0.5)
+    p = sm.jaccard_pairs(sm.shingles(spread(table(spark, sf, "documents"))), 0.5)
     return p.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("size_a").cast("long").alias("size_a"), F.col("size_b").cast("long").alias("size_b"), "jaccard")
 
 
 @query()
 def minhash_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.minhash(table(spark, sf, "documents"))
+    return sm.minhash(spread(table(spark, sf, "documents")))
 
 
 @query()
 def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.lsh_pairs(sm.minhash(table(spark, sf, "documents")))
+    return sm.lsh_pairs(sm.minhash(spread(table(spark, sf, "documents"))))
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_hash, size_bytes, count(*) AS occurrences, count(DISTINCT doc_id) AS objects FROM chunks GROUP BY 1, 2")
@@ -67,7 +67,7 @@ def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def content_defined_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ch.content_chunks(table(spark, sf, "documents"))
+    return ch.content_chunks(spread(table(spark, sf, "documents")))
 
 
 @query(f"WITH {ENTRIES}, o AS (SELECT DISTINCT full_hash, size_bytes FROM entries WHERE full_hash IS NOT NULL), c AS (SELECT count(*) AS objects, sum(size_bytes)::BIGINT AS bytes FROM o) SELECT objects, bytes, bytes // 65536 + objects AS expected_chunks, (bytes // 65536 + objects) * 64 AS index_bytes FROM c")

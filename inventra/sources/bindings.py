@@ -53,6 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions, as one small file does; larger tables stay as they are. For work that is heavy on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the inventory, one for each document."""
     return spark.sql(render(_ENTRIES.replace("FROM documents", "FROM {documents}"), "spark"), documents=table(spark, sf_dir, "documents"))
