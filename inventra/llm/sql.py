@@ -33,8 +33,6 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (h.k IS NOT NULL)):
 FROM keyed LEFT JOIN hot h USING (k) GROUP BY doc_id
 """
 
-_STOP = "{stop}"
-
 OP2 = r"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM base),
@@ -62,10 +60,27 @@ FROM m
 """
 
 
+#: All windows at which a shingle falls on its place in the item, scored exactly; without fingerprints, which lose none of them.
+OP5 = f"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS v FROM benchmark),
+docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
+vs AS (SELECT item_id, q, array_to_string(v[q:q + 4], ' ') AS k FROM (SELECT item_id, v, unnest(range(1, greatest(len(v) - 4, 1) + 1)) AS q FROM items WHERE len(v) > 0)),
+ws AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0)),
+win AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p - q, len(w) - len(v)))::INT AS start FROM ws JOIN vs USING (k) JOIN docs USING (doc_id) JOIN items USING (item_id)),
+xs AS (SELECT doc_id, item_id, start, array_to_string(x[i:i + 4], ' ') AS k, count(*) AS n FROM (
+  SELECT doc_id, item_id, start, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) AS i FROM (
+    SELECT doc_id, item_id, start, w[start + 1:start + len(v)] AS x FROM win JOIN docs USING (doc_id) JOIN items USING (item_id))) GROUP BY ALL),
+vn AS (SELECT item_id, k, count(*) AS n FROM vs GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, sum(least(xs.n, coalesce(vn.n, 0))) AS c, sum(xs.n) AS nx FROM xs LEFT JOIN vn USING (item_id, k) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, c / (nx + (SELECT sum(n) FROM vn WHERE vn.item_id = scored.item_id) - c)::DOUBLE AS s FROM scored)
+SELECT doc_id, item_id, start, round(s, 6) AS similarity FROM sim WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1
+"""
+
+
 def op2() -> str:
     from .quality_rules import STOP_WORDS
 
     return OP2.replace("{stop}", ", ".join(f"'{w}'" for w in STOP_WORDS))
 
 
-ORACLES = {"op1_mixing": OP1, "op2_quality_rules": op2(), "op3_line_dedup": OP3}
+ORACLES = {"op1_mixing": OP1, "op2_quality_rules": op2(), "op3_line_dedup": OP3, "op5_decontamination": OP5}
