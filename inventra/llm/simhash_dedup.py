@@ -260,7 +260,7 @@ def _remixed(hashes: np.ndarray, view: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def dedup(docs: DataFrame, size: int = 2, views: int = 6, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, size: int = 2, views: int = 3, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest id.
 
     A copy with a few edits is within 4 bits of its original only now and then, so several independent fingerprints (views) are taken, of
