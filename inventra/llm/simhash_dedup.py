@@ -40,6 +40,10 @@ SMALL_POINTS = 30_000_000
 MERGE_PAIRS = 500_000
 #: Fingerprints that are expanded at once.
 BLOCK = 1024
+#: Fingerprints of a view whose block keys one task combines before they are shuffled.
+KEY_BLOCK = 65_536
+#: Block keys for each bucket at most, on average; 8 bytes each.
+BUCKET_KEYS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -260,11 +264,178 @@ def _remixed(hashes: np.ndarray, view: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def dedup(docs: DataFrame, size: int = 2, views: int = 3, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def block_masks(radius: int) -> np.ndarray:
+    """Masks of radius of 2 * radius blocks of the 64 bits: two values that differ in radius bits at most agree in all bits of at least one mask."""
+    n = max(2, 2 * radius)
+    blocks = [(1 << 64 * (i + 1) // n) - (1 << 64 * i // n) for i in range(n)]
+    return np.array([sum(x) for x in combinations(blocks, n - radius)], np.uint64)
+
+
+def _by_view(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The fingerprints of a partition of (view, fp), up to about so many of one view at a time."""
+    held: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        view, fp = b.column("view").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+        for v in np.unique(view).tolist():
+            held.setdefault(v, []).append(fp[view == v])
+            if sum(map(len, held[v])) >= most:
+                yield v, np.concatenate(held.pop(v))
+    for v, found in held.items():
+        yield v, np.concatenate(found)
+
+
+def with_neighbours(fps: DataFrame, n_fps: int, radius: int) -> DataFrame:
+    """Of the distinct (view, fp), all that can have another of their view within the radius, and a few others: those that share a block key.
+
+    Balls are large, keys are few, and most fingerprints have no neighbour. A task keeps one fingerprint of each key, as the others of
+    the key are known to share it, so a key comes from each task once, however many fingerprints have it."""
+    masks = block_masks(radius)
+    sub = max(3, int(np.ceil(np.log2(max(1, n_fps / BUCKET_KEYS)))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for view, every in _by_view(batches, KEY_BLOCK):
+            shared = np.zeros(len(every), bool)
+            for m, mask in enumerate(masks):
+                key = every & mask
+                with np.errstate(over="ignore"):
+                    mixed = key * _ODD
+                order = np.argsort(mixed)  # an odd factor keeps keys apart, and its upper bits name the bucket
+                mixed = mixed[order]
+                new = np.concatenate([[True], mixed[1:] != mixed[:-1]])
+                shared[order[~(new & np.append(new[1:], True))]] = True
+                own, part = every[order[new]], (mixed[new] >> np.uint64(64 - sub)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                names = ((view * len(masks) + m) << sub) + part[cuts[:-1]]
+                blobs = [own[x:z].tobytes() for x, z in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["bucket", "fps"])
+            known = every[shared]
+            if len(known):  # negative buckets hold what needs no other task
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - view - (int(known[0] % 4096) << 16)]), pa.array([known.tobytes()], pa.binary())], ["bucket", "fps"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, found = None, [], {}
+
+        def close() -> None:
+            every = np.concatenate(held)
+            held.clear()
+            if name < 0:
+                view = (-1 - name) & 0xFFFF
+            else:
+                view, m = divmod(name >> sub, len(masks))
+                key = every & masks[m]
+                order = np.argsort(key)
+                key, every = key[order], every[order]
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                every = every[~(new & np.append(new[1:], True))]
+            found.setdefault(view, []).append(every)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for view, each in found.items():
+                own = np.unique(np.concatenate(each)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), view, np.int32)), pa.array(own)], ["view", "fp"])
+            found.clear()
+
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("fps").to_pylist(), strict=True):
+                if bucket != name and held:
+                    close()
+                name = bucket
+                held.append(np.frombuffer(blob, np.uint64))
+            if sum(len(x) for each in found.values() for x in each) > 1_000_000:
+                yield from out()
+        if held:
+            close()
+        yield from out()
+
+    dealt = fps.select("view", "fp").repartition(max(12, n_fps // KEY_BLOCK)).mapInArrow(deal, "bucket long, fps binary")
+    return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "view int, fp long").distinct()
+
+
+def view_links(fps: DataFrame, n_fps: int, views: int, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    """(view, a, b): as links(), for the distinct (view, fp) of all views in the same jobs. Only fingerprints that share a block key are expanded.
+
+    A round holds as many points at most as one of `rounds` rounds of a single view would without that choice."""
+    masks = ball(radius // 2)
+    if len(masks) > 4096:
+        raise ValueError("a radius of over 5 bits makes balls too large to emit")
+    near = staged(with_neighbours(fps, n_fps, radius), "near")
+    n = near.count()
+    points = n * len(masks)
+    bits = min(26, max(12, int(np.ceil(np.log2(max(1, points / BUCKET_POINTS))))))
+    parts = 1 if points <= SMALL_POINTS else 2 ** max(0, int(np.ceil(np.log2(rounds * n * views / n_fps))))
+
+    def expand(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = np.arange(len(masks), dtype=np.uint64)[None, :]
+            for view, every in _by_view(batches, BLOCK):
+                for at in range(0, len(every), BLOCK):
+                    with np.errstate(over="ignore"):
+                        mixed = (every[at : at + BLOCK, None] ^ masks[None, :]) * _ODD
+                    points = (mixed << np.uint64(12)) | index
+                    bucket = (mixed >> np.uint64(64 - bits)).astype(np.uint32)
+                    chosen = (bucket & np.uint32(parts - 1)) == part
+                    points, bucket = points[chosen], bucket[chosen]
+                    if not len(points):
+                        continue
+                    order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+                    points, bucket = points[order], bucket[order]
+                    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                    blobs = [points[x:z].tobytes() for x, z in zip(cuts, cuts[1:], strict=False)]
+                    names = (view << bits) + bucket[cuts[:-1]].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["bucket", "points"])
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, found = None, [], {}
+
+        def close() -> None:
+            view, bucket = name >> bits, name & ((1 << bits) - 1)
+            found.setdefault(view, []).append(bucket_links(bucket, held, bits, masks, radius))
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for view, pairs in found.items():
+                both = forest(np.concatenate(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array([view], pa.int32()), pa.array([both.tobytes()], pa.binary()), pa.array([len(both)], pa.int64())], ["view", "pairs", "n"])
+            found.clear()
+
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("points").to_pylist(), strict=True):
+                if bucket != name and held:
+                    close()
+                name = bucket
+                held.append(blob)
+            if sum(len(x) for pairs in found.values() for x in pairs) > 100_000:
+                yield from out()
+        if held:
+            close()
+        yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for view, x in zip(b.column("view").to_pylist(), b.column("pairs").to_pylist(), strict=True):
+                both.setdefault(view, []).append(np.frombuffer(x, np.uint64).reshape(-1, 2))
+        for view, pairs in both.items():
+            kept = forest(np.concatenate(pairs)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), view, np.int32)), pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["view", "a", "b"])
+
+    spread = near.repartition(max(12, n // (8 * BLOCK)))
+    found = None
+    for part in range(parts):
+        dealt = spread.mapInArrow(expand(part), "bucket long, points binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+        own = staged(dealt.mapInArrow(meet, "view int, pairs binary, n long"), "links")
+        found = own if found is None else found.unionByName(own)
+    pairs = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return staged(found.repartition(max(1, -(-pairs // MERGE_PAIRS))).mapInArrow(merge, "view int, a long, b long").distinct(), "links")
+
+
+def dedup(docs: DataFrame, size: int = 2, views: int = 6, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest id.
 
     A copy with a few edits is within 4 bits of its original only now and then, so several independent fingerprints (views) are taken, of
-    two-word shingles by default, and documents that are linked in any of them are in one group. Rows without an id stay; of several rows of the
+    two-word shingles by default, and documents that are linked in any of them are in one group. All views share their jobs. Rows without an id stay; of several rows of the
     id that stays, one stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,17 +453,13 @@ def dedup(docs: DataFrame, size: int = 2, views: int = 3, radius: int = RADIUS,
     each = named.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fps array<long>")
     # documents that agree in all views are one node, named by its smallest id
     nodes = staged(each.groupBy("fps").agg(F.min("id").alias("node")), "nodes")
-    edges = None
-    for v in range(views):
-        own = nodes.select("node", F.col("fps")[v].alias("fp"))
-        reps = staged(own.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
-        n = reps.count()
-        near = links(reps.select("fp").repartition(max(12, n // (8 * BLOCK))), n, radius, rounds)
-        ra, rb = (reps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
-        linked = near.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        same = own.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        both = linked.unionByName(same)
-        edges = both if edges is None else edges.unionByName(both)
+    own = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
+    reps = staged(own.groupBy("view", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "reps")
+    near = view_links(reps, max(1, reps.count()), views, radius, rounds)
+    ra, rb = (reps.select("view", F.col("fp").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
+    linked = near.join(ra, ["view", "a"]).join(rb, ["view", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    same = own.join(reps.where("n > 1").select("view", "fp", "rep"), ["view", "fp"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    edges = linked.unionByName(same)
     roots = components(edges.distinct()).where("node <> root").select("node")
     kept = staged(nodes.select("node").join(roots, "node", "left_anti"), "kept").select(F.col("node").alias("_kept"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))

@@ -250,6 +250,45 @@ def test_simhash_awkward(awkward, empty):
     assert simhash_dedup.classes(empty).count() == 0 and simhash_dedup.dedup(empty).count() == 0
 
 
+def near_copies(n=150):
+    """Texts, each with a copy of some edited words."""
+    rng = random.Random(12)
+    v = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(n):
+        w = [rng.choice(v) for _ in range(rng.randrange(120, 260))]
+        out.append(" ".join(w))
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(v)
+        out.append(" ".join(w))
+    return out
+
+
+def test_dedup_finds_near_copies_of_a_brute_force_join(spark):
+    texts = near_copies()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r.doc_id for r in simhash_dedup.dedup(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert len(pairs) > 100 and all(b == a + 1 and a in kept for a, b in pairs)
+    assert sum(b not in kept for _, b in pairs) >= 0.95 * len(pairs)
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_dedup_links_all_within_the_radius_in_any_view(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash_dedup, "SMALL_POINTS", small)
+    monkeypatch.setattr(simhash_dedup, "KEY_BLOCK", 64)
+    texts = near_copies(60) + [f"{t} tail{i}" for i, t in enumerate([near_copies(1)[0]] * 80)]
+    fps = [[simhash_dedup.fingerprint(simhash_dedup._remixed(simhash_dedup.shingle_hashes(t.encode(), 2, 42), v)) for v in range(6)] for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        new = [min(root[j] for j in range(len(texts)) if any((x ^ y).bit_count() <= 4 for x, y in zip(fps[i], fps[j], strict=True))) for i in range(len(texts))]
+        if new == root:
+            break
+        root = new
+    got = simhash_dedup.dedup(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id for r in got} == set(root)
+
+
 # decontamination
 
 
