@@ -7,7 +7,7 @@ block, an equi-join on (window size, block, value) yields all of them; the Hammi
 verify the candidates. At the least similarity two fingerprints differ in 10 of 64 bits on average, so RADIUS = 22 is over four deviations off.
 
 Only windows that can reach the similarity are fingerprinted: of the positions of a document, enough must start a shingle of the item
-(0.8 of the union is 8/9 of the item), and the window is laid so that such a shingle falls on its place in the item. No window is lost
+(0.8 of the union is 8/9 of the item, and down to 0.8 of it in a document that is shorter than the item), and the window is laid so that such a shingle falls on its place in the item. No window is lost
 to this that lies at the best offset.
 
 Defined cases: words are runs without [\\x20\\x09-\\x0D], lower-cased; null or empty texts and items have no words and match nothing; an item of fewer
@@ -75,20 +75,23 @@ def item_rows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
 
 def candidates(docs: DataFrame, items: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, wins): of each document the windows (len, start) that can reach the similarity to an item."""
-    least = F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.size("shingles") - F.lit(1e-9))
+    # common >= s * (a + b - common), where a window has as many shingles as the item, or all of a shorter document
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.least("size", "positions")) - F.lit(1e-9))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.col(text_col).cast("string").alias("_text"))
     found = None
     # shingles are five words, or all of an item that has fewer: at most five sizes
     for size in sorted(r[0] for r in items.select(F.least(F.col("len"), F.lit(SHINGLE))).distinct().collect()):
-        own = items.where(F.least(F.col("len"), F.lit(SHINGLE)) == size).withColumn("least", least)
-        own = own.select("item", "len", "least", F.posexplode("shingles").alias("q", "s"))
+        own = items.where(F.least(F.col("len"), F.lit(SHINGLE)) == size).withColumn("size", F.size("shingles"))
+        own = own.select("item", "len", "size", F.posexplode("shingles").alias("q", "s"))
         words = F.split("s", " ")
-        own = staged(own.select("item", "len", "least", "q", F.xxhash64(*[F.xxhash64(words[k]) for k in range(size)]).alias("key")), "shingles")
-        at = base.select("id", "tk", F.posexplode(F.expr(_position_hashes(size))).alias("p", "key"))
+        own = staged(own.select("item", "len", "size", "q", F.xxhash64(*[F.xxhash64(words[k]) for k in range(size)]).alias("key")), "shingles")
+        # in one expression, as filters that are inferred for a column of hashes would compute it again
+        hashes = _let(_position_hashes(size), "hs", "transform(hs, x -> named_struct('key', x, 'positions', size(hs)))")
+        at = base.select("id", "tk", F.posexplode(F.expr(hashes)).alias("p", "x")).select("id", "tk", "p", "x.*")
         # positions whose shingle is in an item: an inner join, hashed on the side of the items if that is small enough to send
         hits = at.join(broadcast_if(own, own.count(), BROADCAST_ROWS), "key")
-        pairs = hits.groupBy("id", "tk", "item", "len", "least").agg(F.count("*").alias("n"), F.collect_set(F.col("p") - F.col("q")).alias("starts"))
-        wins = pairs.where(F.col("n") >= F.col("least")).select("id", "tk", "len", F.explode("starts").alias("start"))
+        pairs = hits.groupBy("id", "tk", "positions", "item", "len", "size").agg(F.count("*").alias("n"), F.collect_set(F.col("p") - F.col("q")).alias("starts"))
+        wins = pairs.where(F.col("n") >= least).select("id", "tk", "len", F.explode("starts").alias("start"))
         found = wins if found is None else found.unionByName(wins)
     if found is None:
         return base.select("id", "tk", F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("start"))).alias("wins")).where("false")

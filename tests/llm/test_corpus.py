@@ -337,6 +337,20 @@ def test_leaks_edited_short_and_repeated_items(spark, awkward, empty):
     assert decontaminate.clean(empty, bench).count() == 0 and decontaminate.clean(df, bench.where("false")).count() == len(rows) + 2
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark):
+    rng = random.Random(7)
+    v = [f"v{i}" for i in range(300)]
+    items = {n: [rng.choice(v) for _ in range(n)] for n in (3, 5, 9, 15, 45, 120)}
+    items[200] = ["r", "s"] * 20
+    docs = [w[a : a + n] for w in items.values() for n in range(int(0.75 * len(w)), len(w) + 1) for a in (0, (len(w) - n) // 2, len(w) - n)]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(docs)]
+    bench = [(i, " ".join(w)) for i, w in items.items()]
+    want = brute_leaks([r[:2] for r in rows], bench)
+    got = decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.id, r.item): r.similarity for r in got} == pytest.approx(want)
+    assert any(len(docs[d]) == 40 and i == 45 for d, i in want)
+
+
 def test_leaks_run_no_python(documents, spark, sf_dir):
     plan = decontaminate.contaminated(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
