@@ -44,6 +44,20 @@ def test_near_duplicates(spark):
     assert {(r.a, r.b) for r in estimated.collect()} <= {(r.a, r.b) for r in exact.collect()} | {(1, 2), (2, 6)}
 
 
+def test_lsh_pairs_are_whole_in_large_buckets(spark):
+    rng = random.Random(5)
+    base = [rng.randrange(1000) for _ in range(128)]
+    sigs = {i: list(base) for i in range(540)} | {600 + i: base[:64] + [rng.randrange(1000) for _ in range(64)] for i in range(30)} | {700 + i: [rng.randrange(1000) for _ in range(128)] for i in range(20)}
+    df = spark.createDataFrame(list(sigs.items()), "doc_id long, signature array<long>")
+    bands, rows = similarity.choose_bands(128, 0.75)
+    keys = {i: {(b, tuple(s[b * rows : b * rows + rows])) for b in range(bands)} for i, s in sigs.items()}
+    want = {(a, b): sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True)) / 128 for a in sigs for b in sigs if a < b and keys[a] & keys[b]}
+    assert len(want) > 540 * 539 // 2
+    for most in (7, 512):
+        got = similarity.lsh_pairs(df, most=most).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.estimate for r in got} == want
+
+
 def test_jaccard_pairs_is_whole(spark):
     rng = random.Random(3)
     sets = {i: {rng.randrange(40) for _ in range(rng.randrange(1, 12))} for i in range(60)}
