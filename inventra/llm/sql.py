@@ -60,13 +60,17 @@ FROM m
 """
 
 
-#: All windows at which a shingle falls on its place in the item, scored exactly; without fingerprints, which lose none of them.
+#: All windows that hold a shingle of the item (others have similarity 0), scored exactly; without fingerprints. Pairs with fewer such positions than
+#: 0.8 of the item's shingles are left out, as the similarity takes as many.
 OP5 = f"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS v FROM benchmark),
 docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
 vs AS (SELECT item_id, q, array_to_string(v[q:q + 4], ' ') AS k FROM (SELECT item_id, v, unnest(range(1, greatest(len(v) - 4, 1) + 1)) AS q FROM items WHERE len(v) > 0)),
 ws AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0)),
-win AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p - q, len(w) - len(v)))::INT AS start FROM ws JOIN vs USING (k) JOIN docs USING (doc_id) JOIN items USING (item_id)),
+hits AS (SELECT DISTINCT doc_id, item_id, p FROM ws JOIN vs USING (k)),
+pairs AS (SELECT doc_id, item_id, list(p) AS ps FROM hits JOIN items USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * greatest(len(any_value(v)) - 4, 1)),
+win AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p - 1 - back, len(w) - len(v)))::INT AS start FROM (
+  SELECT doc_id, item_id, w, v, unnest(ps) AS p FROM pairs JOIN docs USING (doc_id) JOIN items USING (item_id)) x, unnest(range(0, greatest(len(v) - 5, 0) + 1)) AS t(back)),
 xs AS (SELECT doc_id, item_id, start, array_to_string(x[i:i + 4], ' ') AS k, count(*) AS n FROM (
   SELECT doc_id, item_id, start, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) AS i FROM (
     SELECT doc_id, item_id, start, w[start + 1:start + len(v)] AS x FROM win JOIN docs USING (doc_id) JOIN items USING (item_id))) GROUP BY ALL),

@@ -351,6 +351,43 @@ def test_leaks_of_documents_shorter_than_the_item(spark):
     assert any(len(docs[d]) == 40 and i == 45 for d, i in want)
 
 
+def test_leaks_at_the_least_similarity(spark):
+    """Edited items of all lengths inside long texts, against all windows: the radius may miss a few at 0.8, nothing else is added."""
+    rng = random.Random(21)
+    v = [f"v{i}" for i in range(4000)]
+    items = [[rng.choice(v) for _ in range(n)] for n in range(12, 72)]
+    items += [[rng.choice(v) for _ in range(300)]]
+    docs = []
+    for w in items:
+        for edits in (0, 1, 2, 3):
+            x = list(w)
+            for _ in range(edits):
+                x[rng.choice((0, 1, -1, -2, rng.randrange(len(x))))] = "edit"
+            docs.append([rng.choice(v) for _ in range(rng.randrange(300))] + x + [rng.choice(v) for _ in range(rng.randrange(300))])
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(docs)]
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+    want = brute_leaks([r[:2] for r in rows], bench)
+    got = {(r.id, r.item): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    low = [k for k in want if want[k] < 0.86]
+    assert len(low) > 15 and sum(k in got for k in low) >= 0.9 * len(low) and sum(k in got for k in want) >= 0.98 * len(want)
+
+
+def test_index_holds_all_within_the_radius(spark):
+    """Fingerprints at up to RADIUS bits from an item's share a key with it."""
+    rng = random.Random(3)
+    fps = [rng.getrandbits(63) for _ in range(20)]
+    items = spark.createDataFrame([(i, 7, f) for i, f in enumerate(fps)], "item long, size int, fp long")
+    keys = collections.defaultdict(set)
+    for r in decontaminate.index_rows(items, decontaminate.RADIUS).collect():
+        keys[r.item].add(r.key)
+    cuts = decontaminate._block_cuts()
+    for i, f in enumerate(fps):
+        for _ in range(200):
+            x = f ^ sum(1 << b for b in rng.sample(range(63), decontaminate.RADIUS))
+            assert any((x >> a & (1 << z - a) - 1) + (k << decontaminate.BLOCK_BITS) in keys[i] for k, (a, z) in enumerate(cuts))
+
+
 def test_leaks_run_no_python(documents, spark, sf_dir):
     plan = decontaminate.contaminated(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
