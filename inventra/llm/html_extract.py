@@ -2,9 +2,14 @@
 
 A page is read as a sequence of text blocks, each with its root-to-leaf path of tags. For every path of the page the text
 length and the punctuation of its blocks are summed and divided by the number of blocks; both ratios are smoothed over
-page order, fused, and lowered by the share of link text. Blocks above a threshold are content; the content node is the deepest
-element that holds nearly all of their weight, and its blocks, short ones and headings included, are the main text. Subtrees
-that are menus, footers, forms and the like by tag, role or class name are no candidates.
+page order, fused, and lowered by the share of link text. Blocks of paths above a threshold are content; the content node is the deepest
+element that holds nearly all of their weight (an article or main element, if it holds most of it), widened to the article around it and to
+parents that add text of such paths or headings. Every block inside the node, short ones, links and headings included, is main text.
+
+Elements that cannot be main text by their tag or role (menus, footers, forms, hidden ones) are no candidates. Class and id names choose
+no node: they only keep subtrees that are named as adverts, notices, comments and the like out of the ratios and of the node's text.
+
+Parsing takes time in proportion to the page, however deep it nests: each open element carries what a later tag needs to know of those around it.
 
 Defined cases: null or empty html, and pages without text, give an empty text and 0; unclosed or crossed tags, unclosed
 comments and stray '<' are read as browsers do, roughly; repeated rows give repeated results; other columns are ignored.
@@ -16,6 +21,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,24 +34,18 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rb ruby rp rt s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-CLOSED_BY = {
-    "p": frozenset(
-        "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
-        "hgroup hr main menu nav ol p pre section table ul".split()
-    ),
-    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
-    "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"]),
-    "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"]),
-}
-SCOPE = frozenset("table td th ul ol dl select button object".split())
-#: Subtrees that never are main text.
+P_CLOSERS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr main menu nav ol p pre section table ul".split()
+)
+#: Subtrees that never are main text, by tag or role.
 ASIDE_TAGS = frozenset("head title nav footer aside form button select dialog menu input label fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+#: Class and id names of subtrees inside or beside an article that are no part of it.
 _NAMES = (
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay sidebar side aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar comment comments "
-    "commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe signup login "
-    "search widget tags skip copyright disclaimer"
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist reply replies respond "
+    "disqus share sharing social related newsletter subscribe signup login disclaimer"
 ).split()
 _ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_NAMES) + r")(?:$|[\s_-]|\d+(?:$|[\s_-]))", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -57,48 +57,126 @@ _TOKEN = re.compile(
 _RAW_NAME = re.compile(r"<([a-zA-Z]+)")
 _PUNCT = re.compile(r"[.,;:!?。，…]")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Of the largest fused ratio a block must have, and of the selected weight the content node must hold.
+_LEAVES = _HEADINGS | {"p", "li", "pre", "blockquote", "td", "dd"}
+#: Of the largest fused ratio a block must have; of the selected weight the content node must hold, and an article or main element.
 THRESHOLD = 0.2
 SHARE = 0.9
+ARTICLE_SHARE = 0.5
+#: Places in an open element's scope: the open p, li, dt or dd, tr, td or th, option, and table section that a later tag may close, and the table fence.
+_P, _LI, _D, _ROW, _CELL, _OPT, _SECT, _FENCE = range(8)
+_ROOT = (-1,) * 8
+
+
+class Block(NamedTuple):
+    text: str
+    path: int
+    node: int
+    aside: bool
+    named: bool
+    links: int
+
+
+class Page(NamedTuple):
+    """blocks in order; of every block-level element, numbered in page order, its parent, tag and last descendant."""
 
+    blocks: list[Block]
+    parent: list[int]
+    tag: list[str]
+    last: list[int]
 
-class Block:
-    __slots__ = ("text", "path", "nodes", "aside", "links")
 
-    def __init__(self, text: str, path: str, nodes: tuple[int, ...], aside: bool, links: int):
-        self.text, self.path, self.nodes, self.aside, self.links = text, path, nodes, aside, links
+class _Open(NamedTuple):
+    tag: str
+    node: int
+    path: int
+    aside: bool
+    named: bool
+    linked: bool
+    article: bool
+    scope: tuple[int, ...]
 
 
-def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not in_article:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and tag not in ("article", "main") and _ASIDE_NAME.search(value):
-            return True
-        if name == "role" and value.lower() in ASIDE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """(no main text by tag or role, named as something beside it)."""
+    aside = tag in ASIDE_TAGS or tag == "header" and not in_article
+    named = False
+    if attrs and tag not in ("html", "body"):
+        for name, value in _ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'")
+            if name in ("class", "id"):
+                named = named or tag not in ("article", "main") and bool(_ASIDE_NAME.search(value))
+            elif name == "role":
+                aside = aside or value.lower() in ASIDE_ROLES
+            elif name == "style":
+                aside = aside or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            else:
+                aside = aside or name == "hidden" or value.lower() == "true"
+    return aside, named
+
+
+def _closed_by(tag: str, scope: tuple[int, ...]) -> int:
+    """Place of the outermost open element that the start of this tag ends, or -1."""
+    ends = []
+    if tag in P_CLOSERS:
+        ends.append(scope[_P])
+    if tag == "li":
+        ends.append(scope[_LI])
+    elif tag in ("dt", "dd"):
+        ends.append(scope[_D])
+    elif tag in ("td", "th"):
+        ends.append(scope[_CELL])
+    elif tag == "tr":
+        ends += scope[_ROW : _CELL + 1]
+    elif tag in ("thead", "tbody", "tfoot"):
+        ends += [scope[_ROW], scope[_CELL], scope[_SECT]]
+    elif tag in ("option", "optgroup"):
+        ends.append(scope[_OPT])
+    return min((x for x in ends if x >= 0), default=-1)
+
 
+def _scope(tag: str, at: int, around: tuple[int, ...]) -> tuple[int, ...]:
+    """The scope inside an element of this tag that is opened at this place of the stack."""
+    if tag in INLINE or tag == "div" or tag == "address":
+        return around
+    own = list(around)
+    if tag == "table":
+        own = list(_ROOT)
+        own[_FENCE] = at
+    elif tag in ("td", "th"):
+        own[_P] = own[_LI] = own[_D] = -1
+        own[_CELL] = own[_FENCE] = at
+    elif tag == "tr":
+        own[_ROW], own[_CELL] = at, -1
+    elif tag in ("thead", "tbody", "tfoot"):
+        own[_SECT], own[_ROW], own[_CELL] = at, -1, -1
+    elif tag == "p":
+        own[_P] = at
+    elif tag == "option":
+        own[_OPT] = at
+    else:
+        own[_LI] = at if tag == "li" else -1
+        own[_D] = at if tag in ("dt", "dd") else -1
+        if tag in ("button", "object", "select"):
+            own[_P] = -1
+    return tuple(own)
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; nodes are the elements they are in, outermost first."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, element number, aside
+
+def parse(page: str) -> Page:
+    out = Page([], [-1], [""], [0])
+    paths: dict[tuple[int, str], int] = {}
+    stack: list[_Open] = []
+    base = _Open("", 0, 0, False, False, False, False, _ROOT)
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
     text: list[str] = []
-    links = count = at = 0
+    links = at = 0
 
     def flush() -> None:
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                own = [x for x in stack if x[0] not in INLINE]
-                out.append(Block(joined, "/".join(x[0] for x in own), tuple(x[1] for x in own), any(x[2] for x in stack), min(links, len(joined))))
+                top = stack[-1] if stack else base
+                out.blocks.append(Block(joined, top.path, top.node, top.aside, top.named, min(links, len(joined))))
             text.clear()
         links = 0
 
@@ -107,12 +185,16 @@ def blocks(page: str) -> list[Block]:
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if any(x[0] == "a" for x in stack):
+            if stack and stack[-1].linked:
                 links += len(piece.strip())
 
     def pop_to(n: int) -> None:
-        if any(x[0] not in INLINE for x in stack[n:]):
+        if any(x.tag not in INLINE for x in stack[n:]):
             flush()
+        for x in reversed(stack[n:]):
+            places[x.tag].pop()
+            if x.tag not in INLINE:
+                out.last[x.node] = len(out.parent) - 1
         del stack[n:]
 
     size = len(page)
@@ -134,15 +216,12 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("table", "td", "th") and tag in INLINE:
-                    break
-            else:
+            own = places.get(tag)
+            if not own:
                 if tag not in INLINE:
                     flush()
+            elif tag not in INLINE or own[-1] > stack[-1].scope[_FENCE]:
+                pop_to(own[-1])
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -150,16 +229,23 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[i][0], ()):
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPE or stack[i][0] not in INLINE and stack[i][0] not in CLOSED_BY and stack[i][0] != "div":
-                    break
-        in_article = any(x[0] in ("article", "main") for x in stack)
-        count += 1
-        stack.append((tag, count, _is_aside(tag, m["attrs"], in_article)))
+            n = _closed_by(tag, stack[-1].scope if stack else _ROOT)
+            if n >= 0:
+                pop_to(n)
+        top = stack[-1] if stack else base
+        aside, named = _judge(tag, m["attrs"], top.article)
+        node, path = top.node, top.path
+        if tag not in INLINE:
+            path = paths.setdefault((path, tag), len(paths) + 1)
+            node = len(out.parent)
+            out.parent.append(top.node)
+            out.tag.append(tag)
+            out.last.append(node)
+        places[tag].append(len(stack))
+        stack.append(_Open(tag, node, path, aside or top.aside, named or top.named, tag == "a" or top.linked, tag in ("article", "main") or top.article, _scope(tag, len(stack), top.scope)))
     flush()
+    pop_to(0)
+    out.last[0] = len(out.parent) - 1
     return out
 
 
@@ -168,16 +254,12 @@ def _smooth(values: list[float]) -> list[float]:
     return [(values[max(0, i - 1)] + 2 * v + values[min(n - 1, i + 1)]) / 4 for i, v in enumerate(values)]
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = [b for b in blocks(page) if not b.aside]
-    if not found:
-        return ""
-    length: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    linked: dict[str, int] = defaultdict(int)
-    nodes: dict[str, int] = defaultdict(int)
+def path_scores(found: list[Block]) -> list[float]:
+    """Of each block the fused text and punctuation ratio of its path, smoothed over page order."""
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    linked: dict[int, int] = defaultdict(int)
+    nodes: dict[int, int] = defaultdict(int)
     for b in found:
         length[b.path] += len(b.text)
         marks[b.path] += len(_PUNCT.findall(b.text))
@@ -185,28 +267,60 @@ def main_text(page: str | None) -> str:
         nodes[b.path] += 1
     by_text = _smooth([length[b.path] / nodes[b.path] for b in found])
     by_marks = _smooth([marks[b.path] / nodes[b.path] for b in found])
-    fused = [t * (1.0 + p) * (1.0 - linked[b.path] / max(1, length[b.path])) ** 2 for b, t, p in zip(found, by_text, by_marks, strict=True)]
+    return [t * (1.0 + p) * (1.0 - linked[b.path] / max(1, length[b.path])) ** 2 for b, t, p in zip(found, by_text, by_marks, strict=True)]
+
+
+def content_node(page: Page, found: list[Block]) -> int:
+    """The element that holds the main text, by the scores of the paths; 0 is the whole page."""
+    fused = path_scores(found)
     least = THRESHOLD * max(fused)
-    weight: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
-    total = 0.0
+    n = len(page.parent)
+    weight, loose = [0.0] * n, [0.0] * n  # of content, and of text of paths below the threshold that is no heading
     for b, score in zip(found, fused, strict=True):
         if score >= least:
-            w = len(b.text) * (1.0 - b.links / len(b.text))
-            total += w
-            for d, node in enumerate(b.nodes):
-                weight[node] += w
-                depth[node] = d
-    inside = [n for n, w in weight.items() if w >= SHARE * total]
-    content = max(inside, key=lambda n: (depth[n], -n), default=None) if total else None
-    # a leaf is not a container: its siblings belong to the text
-    chosen = [b for b in found if content is None or content in b.nodes]
-    if content is not None and len({b.nodes for b in chosen}) == 1:
-        leaf = chosen[0].nodes
-        parent = leaf[leaf.index(content) - 1] if leaf.index(content) else None
-        if parent is not None and chosen[0].path.split("/")[leaf.index(content)] in _HEADINGS | {"p", "li", "pre", "blockquote", "td", "dd"}:
-            chosen = [b for b in found if parent in b.nodes]
-    return "\n".join(b.text for b in chosen if b.links <= 0.7 * len(b.text) or len(b.text) > 200)
+            weight[b.node] += len(b.text) - b.links
+        elif page.tag[b.node] not in _HEADINGS:
+            loose[b.node] += len(b.text)
+    depth = [0] * n
+    for i in range(1, n):
+        depth[i] = depth[page.parent[i]] + 1
+    for i in range(n - 1, 0, -1):
+        weight[page.parent[i]] += weight[i]
+        loose[page.parent[i]] += loose[i]
+    total = weight[0]
+    if not total:
+        return 0
+    chosen = max((i for i in range(n) if weight[i] >= SHARE * total), key=lambda i: (depth[i], -i))
+    articles = [i for i in range(1, n) if page.tag[i] in ("article", "main") and weight[i] >= ARTICLE_SHARE * total]
+    if articles:
+        deepest = max(articles, key=lambda i: (depth[i], -i))
+        if deepest < chosen <= page.last[deepest] or chosen <= deepest <= page.last[chosen]:
+            chosen = deepest
+    if page.tag[chosen] in _LEAVES:  # a leaf is not a container: its siblings belong to the text
+        chosen = page.parent[chosen]
+    around = chosen
+    while around:
+        if page.tag[around] in ("article", "main"):
+            chosen = around
+        around = page.parent[around]
+    while page.tag[chosen] not in ("article", "main", "body", "html", "") and page.tag[page.parent[chosen]] not in ("body", "html", ""):
+        up = page.parent[chosen]
+        if loose[up] > loose[chosen]:  # the parent adds more than content and headings
+            break
+        chosen = up
+    return chosen
+
+
+def main_text(page: str | None, names: bool = True) -> str:
+    """The main text; without `names`, class and id names are not looked at."""
+    if not page:
+        return ""
+    parsed = parse(page)
+    found = [b for b in parsed.blocks if not b.aside and not (names and b.named)]
+    if not found:
+        return ""
+    node = content_node(parsed, found)
+    return "\n".join(b.text for b in found if node <= b.node <= parsed.last[node])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -550,6 +550,36 @@ def test_html_of_all_pages(spark, sf_dir):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+def test_html_paths_choose_the_node_without_names():
+    """Neutral tags and classes: the ratios of the paths alone find the article."""
+    para = "<div class=x{}><div>{} is told here at some length, with commas, with stops. It goes on, and on, until it ends.</div><div>Then {}, as was said, comes in, and more follows. That is all.</div></div>"
+    menu = "<div class=x1>" + "".join(f"<div><a href=/{i}>Entry {i}</a></div>" for i in range(12)) + "</div>"
+    side = "<div class=x3><div><span>Latest</span></div><div>Number 1</div><div>Number 2</div></div>"
+    page = f"<html><body>{menu}{side}<div class=x2><div><section>{para.format(5, 'A tale', 'a hero')}{para.format(5, 'A song', 'a bird')}</section></div></div>{menu}<div>(c) us</div></body></html>"
+    want = [x for t, h in (("A tale", "a hero"), ("A song", "a bird")) for x in (f"{t} is told here at some length, with commas, with stops. It goes on, and on, until it ends.", f"Then {h}, as was said, comes in, and more follows. That is all.")]
+    assert html_extract.main_text(page, names=False).split("\n") == want
+    # links, lists, short lines and uneven sections inside an article stay whole
+    inner = "<h1>Head</h1><p>Intro, short.</p><section><p>" + "Long text, with marks, and more. " * 40 + "</p></section><p><a href=/r>Read the full report</a></p><ul><li><a href=/1>one</a></li></ul>"
+    got = html_extract.main_text(f"<body>{menu}<article>{inner}</article>{side}</body>", names=False).split("\n")
+    assert got[:2] == ["Head", "Intro, short."] and got[3:] == ["Read the full report", "one"] and len(got) == 5
+
+
+def test_html_names_decide_nothing_on_nearly_all_pages(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    same = sum(html_extract.main_text(h) == html_extract.main_text(h, names=False) for h in pages)
+    assert same >= 0.97 * len(pages)
+
+
+def test_html_deep_and_long_pages_take_linear_time():
+    import time
+
+    for page in ("<div>a" * 40_000, "<p><button>" + "<div><i>a</b>" * 20_000, "<ul><li>" * 20_000, "<b>" * 30_000 + "x", "<table><tr><td>" * 10_000, "<p>Some text, and more.</p>" * 60_000):
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - began < 10
+    assert html_extract.main_text("<table><tr><td>One, two.<td>Three, four.<tr><td><p>Five, six.<td>Seven.</table>") == "One, two.\nThree, four.\nFive, six.\nSeven."
+
+
 # quotation
 
 
