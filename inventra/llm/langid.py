@@ -9,8 +9,9 @@ word's posterior; a document's score of a language is their mean, and the best l
 Forward-backward over a batch is exact and vectorised: all words of the batch are one chain that starts anew at each
 document; it is cut into equal pieces, whose transfer matrices are multiplied step by step side by side and then joined.
 
-Languages are learned from a bounded sample (PER_LANG documents of a language, of MAX_CHARS characters at most, whole).
-Defined cases: null text or a text without letters is `und` with score 0; without labelled languages every text is
+Every language that labels a document is learned, from a bounded sample of whole documents: PER_LANG of a language, or SAMPLE_DOCS shared evenly
+where there are many languages, of MAX_CHARS characters at most. The sample is found in one pass, whatever the number of languages, and read in a second.
+Defined cases: null text or a text without letters (\\p{L}) is `und` with score 0; without labelled languages every text is
 `und`; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -24,20 +25,23 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, staged
 
 PER_LANG = 400
-#: Languages of which documents are sampled; the most frequent ones.
-MAX_LANGS = 64
+#: Documents that are sampled of all languages together, but one of each at least.
+SAMPLE_DOCS = 12_800
 MAX_CHARS = 10_000
 HELD_OUT = (3, (1,))
 BITS = 16
 ORDERS = (2, 3, 4, 5)
 STEPS = 40
 EPOCHS = 4
-MAX_TRAIN_WORDS = 240_000
+BATCH = 128
+#: Words after which no further documents of the sample are taken, shared by the languages; a document is taken whole, one of each language at least.
+TRAIN_WORDS = 240_000
 #: Words that are labelled at once.
 PIECE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,7 +55,12 @@ class Model(NamedTuple):
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # fractions, superscripts and the like are word characters, but no letters
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def feature_ids(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,17 +114,21 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np
     e = np.concatenate([e, np.ones((pad, k))]).reshape(pieces, length, k)
     f = np.concatenate([first, np.ones(pad, bool)]).reshape(pieces, length)  # padding is apart from the last document
     f[0, 0] = True
-    step = np.where(f[:, :, None, None], np.broadcast_to(s, (k, k)), t)  # into a word, from the one before
+    anew = np.broadcast_to(s, (k, k))
+
+    def step(i: int) -> np.ndarray:
+        """Into word i of each piece, from the one before."""
+        return np.where(f[:, i, None, None], anew, t)
 
     def run(v: np.ndarray, i: int) -> np.ndarray:
-        v = (v @ step[:, i]) * e[:, i][:, None, :]
+        v = (v @ step(i)) * e[:, i][:, None, :]
         return v / np.maximum(v.sum(2, keepdims=True), 1e-300)
 
     # transfer of each piece: row j starts in language j; rows keep their own scale apart
     v = np.broadcast_to(np.eye(k), (pieces, k, k)).copy()
     scale = np.zeros((pieces, k))
     for i in range(length):
-        v = (v @ step[:, i]) * e[:, i][:, None, :]
+        v = (v @ step(i)) * e[:, i][:, None, :]
         z = np.maximum(v.sum(2), 1e-300)
         scale += np.log(z)
         v /= z[:, :, None]
@@ -136,7 +149,7 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np
     u = np.broadcast_to(np.eye(k), (pieces, k, k)).copy()
     back = np.zeros((pieces, k))
     for i in range(length - 1, -1, -1):
-        u = step[:, i] @ (e[:, i][:, :, None] * u)
+        u = step(i) @ (e[:, i][:, :, None] * u)
         z = np.maximum(u.sum(1), 1e-300)
         back += np.log(z)
         u /= z[:, None, :]
@@ -152,7 +165,7 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np
     b = tails[:, :, None]
     for i in range(length - 1, -1, -1):
         beta[:, i] = b[:, :, 0]
-        b = step[:, i] @ (e[:, i][:, :, None] * b)
+        b = step(i) @ (e[:, i][:, :, None] * b)
         b /= np.maximum(b.sum(1, keepdims=True), 1e-300)
     post = alpha * beta
     post /= np.maximum(post.sum(2, keepdims=True), 1e-300)
@@ -190,12 +203,13 @@ def train(texts: Sequence[tuple[str, str]], seed: int = 7) -> Model:
     stretches = []
     per_lang = dict.fromkeys(langs, 0)
     for text, lang in texts:
+        if per_lang[lang] >= TRAIN_WORDS // max(1, k):
+            continue
         words, at = words_of(text), 0
-        while at < len(words) and per_lang[lang] < MAX_TRAIN_WORDS // max(1, k):
+        per_lang[lang] += len(words)
+        while at < len(words):
             size = int(rng.integers(3, 40))
-            own = words[at : at + size]
-            stretches.append((own, langs.index(lang)))
-            per_lang[lang] += len(own)
+            stretches.append((words[at : at + size], langs.index(lang)))
             at += size
     model = Model(langs, np.zeros((1 << BITS, k)), np.zeros(k), np.zeros((k, k)))
     if not stretches or k < 2:
@@ -213,8 +227,8 @@ def train(texts: Sequence[tuple[str, str]], seed: int = 7) -> Model:
     speed = [np.full_like(x, 1e-6) for x in (table, start, trans)]
     for _ in range(EPOCHS):
         order = rng.permutation(rows)
-        for at in range(0, rows, 128):
-            own = order[at : at + 128]
+        for at in range(0, rows, BATCH):
+            own = order[at : at + BATCH]
             used, local = np.unique(index[own].ravel(), return_inverse=True)
             spans = np.concatenate([np.arange(starts[u], starts[u] + sizes[u]) for u in used])
             own_ids, own_starts = ids[spans], np.concatenate([[0], np.cumsum(sizes[used])[:-1]])
@@ -235,19 +249,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n, out = HELD_OUT
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").rlike("\\p{L}") & ~crc_mod(F.col("_id"), n).isin(*out))
+    rows = rows.where(F.length("_text") <= MAX_CHARS)
     order = F.xxhash64("_id", F.lit("lang"))
-    short = rows.where(F.length("_text") <= MAX_CHARS)
-    # PER_LANG smallest hashes of each language, merged from every task's: bounded by the languages, never a whole group
-    langs = [r["_lang"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()]
-    ids = None
-    for lang in langs:
-        own = short.where(F.col("_lang") == lang).select("_id", order.alias("_order")).orderBy("_order", "_id").limit(PER_LANG)
-        ids = own if ids is None else ids.unionByName(own)
-    if ids is None:
+    # the smallest hashes of each language: Spark limits every task's part of a language before the shuffle
+    first = W.partitionBy("_lang").orderBy("_order", "_id")
+    ids = rows.select("_id", "_lang", order.alias("_order")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= PER_LANG)
+    ids = staged(ids.select("_id", "_lang", "_rank").distinct(), "sample")
+    langs = ids.select("_lang").distinct().count()
+    if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros((0, 0)))
-    ids = ids.select("_id").distinct()
-    found = short.where(F.col("_lang").isin(langs)).join(F.broadcast(ids), "_id").select("_id", "_lang", "_text", order.alias("_order")).collect()
-    found.sort(key=lambda r: (r["_order"], r["_id"], r["_lang"], r["_text"]))
+    # SAMPLE_DOCS ids at most, or one of each language
+    ids = ids.where(F.col("_rank") <= max(1, min(PER_LANG, SAMPLE_DOCS // langs))).select("_id", F.col("_lang").alias("_l")).distinct()
+    found = rows.join(F.broadcast(ids), (F.col("_lang") == F.col("_l")) & rows["_id"].eqNullSafe(ids["_id"])).select(rows["_id"], "_lang", "_text", F.xxhash64(rows["_id"], F.lit("lang")).alias("_order")).distinct().collect()
+    found.sort(key=lambda r: (r["_order"], r["_id"] is None, r["_id"], r["_lang"], r["_text"]))
     return train([(r["_text"], r["_lang"]) for r in found])
 
 

