@@ -1,16 +1,18 @@
 """Quotation linking for chats and mail threads, with DataFrame operations only.
 
 A line's quote level is the number of '>' that lead it. Runs of lines of one level are passages; the unquoted ones are the message's own
-text. Quoted passages, and their lines, are normalised (white space, case, punctuation) and hashed, and joined on
-(conversation, hash) to the own passages, lines and whole texts of earlier messages. The message of which most is quoted, at the lowest level, is
-the one replied to; the replies form trees, which give the conversation its order: thread by thread, and by turn within a thread.
-
-Defined cases: null or empty text is an empty own text; a null conversation or turn is a value; lines that only introduce a quotation
-("... wrote:") are dropped before a quoted passage; a quotation that is found nowhere links to nothing; messages of equal turn and text
-count once in links but are all returned; an empty table gives an empty result; other columns are ignored.
-
-No conversation is gathered in one task: originals are aggregated to their earliest turn, joins are on equal keys, thread roots are
-found by doubling, and positions are counted over range partitions.
+text. A quoted passage has units: the whole, its paragraphs and its lines. Units are normalised (white space, case, punctuation), hashed, and joined on
+(conversation, hash) to the units of the own texts of earlier messages, at any length; of several originals the latest one before the quoting
+message counts. The message replied to is that original of the longest unit found at the lowest quote level (of equals the latest); the replies form
+trees, which give the conversation its order: thread by thread, and by turn within a thread.
+
+Defined cases: null or empty text is an empty own text; a null conversation or turn is a value, but a null turn is neither before nor after another; lines
+that only introduce a quotation ("... wrote:") are dropped before a quoted passage; a quotation that is found nowhere links to nothing; messages of equal
+turn and text count once in links but are all returned; an empty table gives an empty result; other columns are ignored.
+
+No conversation is gathered in one task: the latest earlier original is found in range partitions of (conversation, unit, turn), which split a unit of any
+frequency, and between them by one row for each partition; joins are on equal keys, thread roots are found by doubling, and positions are counted over range
+partitions.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Code points that a normalised line or passage must have to link; whole messages link at any length.
-MIN_CHARS = 12
 _LEAD = "'^(?:[ \\\\t]*>)+'"
 _INTRO = "'(?i)(wrote|writes|schrieb|a écrit|escribió|escribe)[^\\\\n]{0,80}:[ \\\\t]*$|^-{2,} ?(original message|forwarded message|ursprüngliche nachricht|mensaje original|message d.origine).*$'"
 
@@ -61,27 +61,42 @@ def _unit_keys(whole: str, lines: str) -> str:
     return f"array_distinct(filter(transform({parts}, x -> {_normal('x')}), x -> length(x) > 0))"
 
 
+def latest_before(quotes: DataFrame, originals: DataFrame) -> DataFrame:
+    """(conv, hash, turn, source): for each distinct quoted (conv, hash, turn) the latest turn before it of the distinct originals (conv, hash, turn)."""
+    both = quotes.select("conv", "hash", "turn", F.lit(0).alias("kind")).unionByName(originals.select("conv", "hash", "turn", F.lit(1).alias("kind")))
+    # a quote sorts before an original of its own turn
+    ranged = both.repartitionByRange("conv", "hash", "turn", "kind").withColumn("part", F.spark_partition_id())
+    ranged = staged(ranged, "units")
+    own = F.when(F.col("kind") == 1, F.col("turn"))
+    within = W.partitionBy("part", "conv", "hash").orderBy("turn", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = ranged.withColumn("near", F.last(own, ignorenulls=True).over(within)).where("kind = 0")
+    before = W.partitionBy("conv", "hash").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ranged.groupBy("conv", "hash", "part").agg(F.max(own).alias("last")).withColumn("far", F.max("last").over(before))
+    ends = ends.where("far is not null").select(F.col("conv").alias("_c"), F.col("hash").alias("_h"), F.col("part").alias("_p"), "far")
+    found = here.join(ends, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("part") == F.col("_p")), "left")
+    return found.select("conv", "hash", "turn", F.coalesce("near", "far").alias("source")).where("source is not null")
+
+
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """parsed() with n_quoted, n_linked and reply_to (a turn of the same conversation, or null)."""
     rows = staged(parsed(messages, conv_col, turn_col, role_col, text_col), "messages")
-    quoting = rows.where(F.size("quotes") > 0)
+    quoting = rows.where((F.size("quotes") > 0) & F.col("turn").isNotNull())
     passages = quoting.select("conv", "turn", "key", F.posexplode("quotes").alias("n", "q"))
     units = passages.select("conv", "turn", "key", "n", F.col("q.level").alias("level"), F.explode(F.expr(_unit_keys("q.text", "q.lines"))).alias("unit"))
-    # originals only of conversations that quote; of equal units the earliest message is the original
-    convs = quoting.select(F.col("conv").alias("_c")).distinct()
-    sources = rows.join(convs, F.col("conv").eqNullSafe(F.col("_c")), "left_semi")
-    whole = F.expr(_normal("own"))
-    own = sources.select("conv", "turn", F.explode(F.expr(_unit_keys("own", "split(own, '\\n')"))).alias("unit"), whole.alias("whole"))
-    own = own.where((F.length("unit") >= MIN_CHARS) | (F.col("unit") == F.col("whole")))
-    first = own.groupBy(F.col("conv").alias("_conv"), F.sha2("unit", 256).alias("_hash")).agg(F.min("turn").alias("_turn"))
-    found = units.join(first, F.col("conv").eqNullSafe(F.col("_conv")) & (F.sha2("unit", 256) == F.col("_hash")) & (F.col("_turn") < F.col("turn")))
-    # of each passage and original the largest unit, then of each original the sum over passages
-    best = found.groupBy("conv", "turn", "key", "n", "level", "_turn").agg(F.max(F.length("unit")).alias("chars"))
-    votes = best.groupBy("conv", "turn", "key", "_turn").agg(F.min("level").alias("level"), F.sum("chars").alias("chars"), F.collect_set("n").alias("ns"))
-    pick = F.min_by("_turn", F.struct(F.col("level"), (-F.col("chars")).alias("c"), (-F.col("_turn")).alias("t")))
-    links = votes.groupBy("conv", "turn", "key").agg(pick.alias("reply_to"), F.size(F.array_distinct(F.flatten(F.collect_list("ns")))).alias("n_linked"))
+    units = staged(units.select("conv", "turn", "key", "n", "level", F.sha2("unit", 256).alias("hash"), F.length("unit").alias("chars")).distinct(), "quoted")
+    # originals only of units that are quoted
+    asked = units.select(F.col("conv").alias("_c"), F.col("hash").alias("_h")).distinct()
+    convs = asked.select("_c").distinct()
+    sources = rows.where(F.col("turn").isNotNull()).join(convs, F.col("conv").eqNullSafe(F.col("_c")), "left_semi")
+    own = sources.select("conv", "turn", F.explode(F.expr(_unit_keys("own", "split(own, '\\n')"))).alias("unit")).select("conv", "turn", F.sha2("unit", 256).alias("hash")).distinct()
+    own = own.join(asked, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left_semi")
+    near = latest_before(units.select("conv", "hash", "turn").distinct(), own)
+    near = near.select(F.col("conv").alias("_c"), F.col("hash").alias("_h"), F.col("turn").alias("_t"), "source")
+    found = units.join(near, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("turn") == F.col("_t")))
+    pick = F.max_by("source", F.struct((-F.col("level")).alias("l"), F.col("chars"), F.col("source")))
+    links = found.groupBy("conv", "turn", "key").agg(pick.alias("reply_to"), F.count_distinct("n").cast("int").alias("n_linked"))
     links = links.select(F.col("conv").alias("_c2"), F.col("turn").alias("_t2"), F.col("key").alias("_k2"), "reply_to", "n_linked")
-    same = F.col("conv").eqNullSafe(F.col("_c2")) & F.col("turn").eqNullSafe(F.col("_t2")) & (F.col("key") == F.col("_k2"))
+    same = F.col("conv").eqNullSafe(F.col("_c2")) & (F.col("turn") == F.col("_t2")) & (F.col("key") == F.col("_k2"))
     joined = rows.join(links, same, "left")
     return joined.select("conv", "turn", "role", "key", "own", "n_levels", F.size("quotes").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to")
 

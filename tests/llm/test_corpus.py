@@ -638,6 +638,64 @@ def test_quotations(spark):
     assert quotation.conversations(df.where("false")).count() == 0
 
 
+def brute_links(rows):
+    """(conv, turn) -> (reply_to, n_linked) of threads without nested runs: rows are (conv, turn, role, text)."""
+    normal = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    units = lambda x: {u for u in map(normal, [x, *re.split(r"\n[ \t]*\n", x), *x.split("\n")]) if u}
+    own, out = collections.defaultdict(list), {}
+    for conv, turn, _, text in sorted(rows):
+        runs = []
+        for line in text.split("\n"):
+            level = len(re.match(r"(?:[ \t]*>)*", line)[0].replace(" ", "").replace("\t", ""))
+            line = re.sub(r"^(?:[ \t]*>)+[ ]?", "", line)
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(line)
+        best, linked = None, 0
+        for level, lines in runs:
+            hits = [(-level, len(u), t) for u in units("\n".join(lines)) for t, us in own[conv] if level and t < turn and u in us]
+            linked += bool(hits)
+            best = max([*hits, *([best] if best else [])], default=None)
+        own[conv].append((turn, units("\n".join(x for level, lines in runs if not level for x in lines).strip("\n"))))
+        out[conv, turn] = (best[2] if best else None, linked)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_quotations_of_the_conversations(spark, sf_dir, parts):
+    """Threads made of the conversations' own messages: quotes of whole messages, of lines, of short lines and of repeated ones, against brute force."""
+    rng = random.Random(9)
+    rows = []
+    own = collections.defaultdict(list)
+    for r in sorted(map(tuple, spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect())):
+        conv, turn, role, text = r[0] % 7, r[0] * 100 + r[1], r[2], re.sub(r"^[ \t]*>+", "", r[3] or "", flags=re.M)
+        text = rng.choice([text, "ok", text + "\nok", "Short line\n" + text])
+        head = []
+        for level in range(1, rng.randrange(1, 4)):
+            if own[conv]:
+                old = rng.choice(own[conv])
+                lines = rng.choice([old.split("\n"), [rng.choice(old.split("\n"))], ["never said here"]])
+                head += [">" * level + " " + x.upper() for x in lines]
+        own[conv].append(text)
+        rows.append((conv, turn, role, "\n".join([*head, text])))
+    want = brute_links(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.conv, r.turn): (r.reply_to, r.n_linked) for r in quotation.linked(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == want and sum(v[0] is not None for v in want.values()) > 0.2 * len(rows)
+
+
+def test_quotations_of_repeated_and_short_lines(spark):
+    rows = [(1, 0, "u", "A sentence that is said twice.\nshort ok"), (1, 1, "u", "Between."), (1, 2, "u", "A sentence that is said twice."), (1, 3, "u", "> A sentence that is said twice.\nYes."), (1, 4, "u", "> short ok\nFine."), (1, 5, "u", "x" * 300_000 + "\n> Between.\n" + "y " * 100_000)]
+    got = {r.turn: r for r in quotation.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[3].reply_to, got[4].reply_to, got[5].reply_to) == (2, 0, 1) and len(got[5].text) == 500_001
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "message number zero of the chain")] + [(1, i, "u", f"> {'message number zero of the chain' if i == 1 else f'answer with number {i - 1} in it'}\nanswer with number {i} in it") for i in range(1, 30)]
     got = {r.turn: r for r in quotation.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
