@@ -9,24 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share (spark.checkpoint.dir): ends the lineage of an iteration."""
-    spark: SparkSession = df.sparkSession
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this application that driver and executors share, below spark.checkpoint.dir. Only a session in one process may leave that unset;
+    elsewhere a temporary folder would be another one on each machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="inventra-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/inventra/step-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")  # the shuffle files of this write go as soon as it is done
+    return f"{base.rstrip('/')}/inventra/{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, label: str = "step") -> DataFrame:
+    """df written once as Parquet to the shared folder and read again: lineage ends here, a lost executor costs no
+    recomputation, and every later use sees the same rows."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write go as soon as it is done
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_staged(spark: SparkSession) -> None:
+    """Removes every staged table of this application; call it when no result that reads them is still needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of undirected edges (a, b); the root is the smallest node of the component.
 
