@@ -2,60 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inventra.operators.graph import components, delete_staged, staged  # noqa: F401
+
 #: A word is a run of anything but these six white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The same as a literal inside a SQL expression, where backslashes are doubled.
 WORD_SQL = "'" + WORD.replace("\\", "\\\\") + "'"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="inventra-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: lineage ends here, a lost executor costs no
-    recomputation, and every later use sees the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/inventra/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write go as soon as it is done
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions, as a table in one small file does; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def delete_staged(spark: SparkSession) -> None:
-    """Removes every staged table of the shared folder; call it when no result that reads them is still needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/inventra")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 where the id is null."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % F.lit(n), F.lit(-1))
@@ -80,11 +47,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
         own = clean.where(F.col("_label") == label).orderBy(order, "_id").limit(2 * per_class)
         ids = own if ids is None else ids.unionByName(own)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= max_chars)
-    # at most 4 * per_class ids
-    found = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
-    rows = found.select("_id", "_text", "_label", order.alias("_order")).collect()
-    taken: list[tuple[int, str, int]] = []
-    for label in (0, 1):
-        own = sorted((r for r in rows if r["_label"] == label), key=lambda r: (r["_order"], r["_id"]))[:per_class]
-        taken += [(r["_id"], r["_text"], label) for r in own]
-    return taken
+    # at most 4 * per_class ids; of those that have a text, per_class of each label are gathered
+    found = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).withColumn("_order", order)
+    first = W.partitionBy("_label").orderBy("_order", "_id")
+    rows = found.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_class).collect()
+    return [(r["_id"], r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_label"], r["_order"], r["_id"]))]

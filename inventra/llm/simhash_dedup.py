@@ -8,7 +8,7 @@ What keeps it bounded: equal fingerprints are merged first, so one point is met
 holds (2,081 for radius 4); points travel packed, eight bytes each, in one binary row for each bucket and block of fingerprints;
 buckets grow in number with the fingerprints; and the point space is shuffled in `rounds` parts (a power of two), whose shuffle files are
 dropped one after the other. Within a point only links to its smallest fingerprint are made, and of a task's links a spanning forest is kept, not all pairs: fingerprints that share a point are
-within the radius of one another. Components are then found by distributed contraction (see components()).
+within the radius of one another. Components are then found by distributed contraction.
 
 Defined cases: null or empty text, or a text without words, has fingerprint 0 and is linked like any other; texts of fewer
 words than the shingle size have one shingle, the whole sequence; repeated rows are returned as often as they occur; a
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import components, staged
 
 SHINGLE = 4
 RADIUS = 4
@@ -210,34 +210,6 @@ def links(fps: DataFrame, n_fps: int, radius: int = RADIUS, rounds: int = ROUNDS
     return staged(found.repartition(max(1, -(-pairs // MERGE_PAIRS))).mapInArrow(merge, "a long, b long").distinct(), "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of the edges (a, b): root is the smallest node that is reachable.
-
-    Each round hooks every node to the smallest of itself and its neighbours, follows hooks to their end by doubling, and
-    renames the ends of the edges; what is left are edges between different roots. Only minima are aggregated and only
-    equal keys are joined, so no group is ever gathered, whatever a node's degree."""
-    edges = staged(edges.select("a", "b").where("a <> b"), "edges")
-    named = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "hook")
-        while True:  # pointer doubling
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = staged(hook.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "hook")
-            hook = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        if named is None:
-            named = hook
-        else:
-            next_ = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            named = staged(named.join(next_, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "named")
-        ra = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        rb = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = staged(edges.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-    return named if named is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every document."""
     each = staged(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")

@@ -1,12 +1,15 @@
 """Toxicity by weak supervision.
 
-1. Words and stems that mark toxic documents of a labelled sample (log-odds, significance) are dealt to LEXICONS lexicon voters; pattern
-   voters look at how such words are used (several of them, dense, after an address, shouted, quoted by '!', none at all).
-2. All documents that are not held out vote; the votes of a document are one bit pattern, and the counts of
-   the patterns, of which there are 2 ** VOTERS at most, are the only thing that is gathered.
+1. Lexicon voters: words and stems that mark toxic documents of a labelled sample (log-odds, significance) form LEXICONS lexicons, by the language of the
+   documents they occur in (groups of the commonest words around them; no label of a language is read) and by kind, word or stem. Pattern
+   voters look at the text without the lexicons: shouting, runs of '!', masked or stretched words, address; and at how often
+   and how densely entries occur. A voter that does not fire abstains, which is an outcome of its own; `none` votes for clean.
+2. All documents that are not held out vote; the votes of a document are one bit pattern, and the counts of the patterns are the only
+   thing that is gathered, of the MOST_PATTERNS commonest of at most 2 ** VOTERS (by far fewer occur).
 3. A generative label model, a latent class with a tree of dependences within the class, is fitted to these counts by expectation
    maximisation: it estimates every voter's accuracies and the correlations of dependent voters.
-4. Its posterior labels of the sample train a linear classifier on word and pattern features, which scores every document.
+4. Its posterior labels of the sample train a linear classifier on the entries, the votes, and hashed words and word beginnings of the whole text, which
+   the voters don't see. It scores every document.
 
 Labels are learned from a bounded sample (PER_CLASS documents of a label, of MAX_CHARS characters at most, whole).
 Defined cases: null or empty text scores the classifier's offset, which is low; without both labels every score is 0; repeated
@@ -16,6 +19,7 @@ rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -31,14 +35,29 @@ from .simhash_dedup import fingerprint, shingle_hashes
 PER_CLASS = 2500
 MAX_CHARS = 20_000
 HELD_OUT = (5, (0,))
-LEXICONS = 8
+#: Groups of languages; each has a lexicon of words and one of stems.
+GROUPS = 4
+LEXICONS = 2 * GROUPS
 LEXICON_WORDS = 160
 #: Words of address in four languages.
-ADDRESS = frozenset("you your you're u ya tu toi vous du dich dir sie ihr ihr euch usted ustedes ti te vosotros".split())
-PATTERNS = ("several", "dense", "addressed", "shouted", "none", "repeated")
+ADDRESS = "you your you're u ya tu toi vous du dich dir sie ihr euch usted ustedes ti te vosotros".split()
+PATTERNS = ("several", "dense", "repeated", "addressed", "shouted", "exclaimed", "masked", "stretched", "none")
 VOTERS = LEXICONS + len(PATTERNS)
+MOST_PATTERNS = 50_000
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
+_ADDRESSED = re.compile(r"(?<!\w)(?:" + "|".join(ADDRESS) + r")(?!\w)")
+_SHOUTED = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-Þ]{3,}(?!\w)")
+_EXCLAIMED = re.compile(r"!\s*!")
+#: A symbol between letters, and a character four times in a row.
+_MASKED = re.compile(r"[*@$#](?<=[^\W\d_].)[*@$#]*[^\W\d_]")
+_FOURFOLD = re.compile(r"(.)\1\1\1")
+_MARKS = ".,;:!?\"'()[]{}…«»“”"
+#: Bits of the hashed features, the documents of the sample that a feature must be in, and their penalty.
+HASH_BITS = 18
+LEAST_DOCS = 5
+HASH_PENALTY = 3e-3
+BEGINNING = 5
 #: Lengths of stems, and the mark that ends a whole word.
 STEMS = (4, 5, 6, 7, 8)
 END = "$"
@@ -48,9 +67,18 @@ COPY_BITS = 10
 LEAST_GAIN = 18.0
 
 
+class Lexicon(NamedTuple):
+    """entry -> rank, the voter of each rank, and a pattern that finds the words that match an entry."""
+
+    ranks: dict[str, int]
+    voter: list[int]
+    finder: re.Pattern | None
+
+
 class Model(NamedTuple):
-    lexicon: dict[str, int]
+    lexicon: Lexicon
     weights: np.ndarray
+    hashed: np.ndarray
     offset: float
     voters: dict
 
@@ -71,6 +99,28 @@ def _copy_groups(texts: Sequence[str]) -> list[int]:
     return group
 
 
+def _finder(entries: Sequence[str]) -> re.Pattern | None:
+    """Words that are an entry or begin with a stem; common beginnings are tested once."""
+    if not entries:
+        return None
+    tree: dict = {}
+    for e in entries:
+        node = tree
+        for c in e.removesuffix(END):
+            node = node.setdefault(c, {})
+        node[""] = r"(?!\w)" if e.endswith(END) else r"\w*"
+
+    def render(node: dict) -> str:
+        ways = [re.escape(c) + render(x) for c, x in sorted(node.items()) if c]
+        own = node.get("")
+        if own == r"\w*":
+            return own
+        ways += [own] if own else []
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return re.compile(r"(?<!\w)" + render(tree))
+
+
 def mine_lexicon(sample: Sequence[tuple[int, str, int]], most: int = LEXICON_WORDS) -> dict[str, int]:
     """entry -> rank, of the words and stems that mark the label 1 (log-likelihood ratio and log-odds). Languages coin new words from the
     stem of an abusive one, so a stem is an entry too. Near copies count once, else their rare words would be marks."""
@@ -109,46 +159,78 @@ def mine_lexicon(sample: Sequence[tuple[int, str, int]], most: int = LEXICON_WOR
     return {e: i for i, e in enumerate(kept)}
 
 
-def _rank(word: str, lexicon: dict[str, int]) -> int | None:
+def group_lexicon(ranks: dict[str, int], sample: Sequence[tuple[int, str, int]]) -> Lexicon:
+    """Entries dealt to voters: by the commonest words of the documents that hold them, grouped around the entries that differ most, and by kind."""
+    bags = [set(_WORD.findall(t.lower())) for _, t, _ in sample]
+    common = [w for w, _ in sorted(Counter(w for b in bags for w in b).items(), key=lambda x: (-x[1], x[0]))[:200]]
+    profile = np.zeros((len(ranks), len(common)))
+    finder = _finder(list(ranks))
+    for (_, text, y), bag in zip(sample, bags, strict=True):
+        if y and finder is not None:
+            row = np.array([w in bag for w in common], float)
+            for r in {_rank(w, ranks) for w in finder.findall(text.lower())} - {None}:
+                profile[r] += row
+    profile /= np.maximum(1e-9, np.linalg.norm(profile, axis=1, keepdims=True))
+    centres: list[int] = []
+    for _ in range(min(GROUPS, len(ranks))):
+        far = (profile @ profile[centres].T).max(1) if centres else np.zeros(len(ranks))
+        if centres and far.min() > 0.8:  # all are alike
+            break
+        centres.append(int(far.argmin()))
+    group = (profile @ profile[centres].T).argmax(1) if centres else np.zeros(0, int)
+    return Lexicon(ranks, [2 * int(group[r]) + int(not e.endswith(END)) for e, r in ranks.items()], finder)
+
+
+def _rank(word: str, ranks: dict[str, int]) -> int | None:
     for e in _entries(word):
-        r = lexicon.get(e)
+        r = ranks.get(e)
         if r is not None:
             return r
     return None
 
 
-def observe(text: str | None, lexicon: dict[str, int]) -> tuple[int, list[int]]:
+def observe(text: str | None, lexicon: Lexicon) -> tuple[int, list[int]]:
     """(votes as bits, ranks of the lexicon entries found, once each)."""
-    none = 1 << (LEXICONS + PATTERNS.index("none"))
     if not text:
-        return none, []
-    lower = _WORD.findall(text.lower())
-    found = {w: r for w in set(lower) if (r := _rank(w, lexicon)) is not None}
-    if not found:
-        return none, []
-    at = [i for i, w in enumerate(lower) if w in found]
-    words = _WORD.findall(text)
-    if len(words) != len(lower):  # lower-casing can split or join words of a few scripts
-        words = lower
-    ranks = [found[lower[i]] for i in at]
+        return 1 << (LEXICONS + PATTERNS.index("none")), []
+    lower = text.lower()
+    found = [r for w in (lexicon.finder.findall(lower) if lexicon.finder else ()) if (r := _rank(w, lexicon.ranks)) is not None]
+    distinct = sorted(set(found))
     votes = 0
-    for r in ranks:
-        votes |= 1 << (r % LEXICONS)
-    distinct = sorted(set(ranks))
-    flags = (
+    for r in distinct:
+        votes |= 1 << lexicon.voter[r]
+    words = max(1, lower.count(" ") + lower.count("\n"))
+    flags = [
         len(distinct) >= 2,
-        len(ranks) * 200 >= len(words),
-        any(lower[j] in ADDRESS for i in at for j in range(max(0, i - 3), i)),
-        any(len(words[i]) > 2 and words[i].isupper() for i in at),
-        False,
-        len(ranks) > len(distinct),
-    )
+        len(found) * 200 >= words and bool(found),
+        len(found) > len(distinct),
+        len(_ADDRESSED.findall(lower)) * 40 >= words and words >= 4,
+        len(_SHOUTED.findall(text)) * 20 >= words and words >= 4,
+        bool(_EXCLAIMED.search(text)),
+        bool(_MASKED.search(text)),
+        any(m[1].isalpha() for m in _FOURFOLD.finditer(lower)),
+        not found,
+    ]
     for k, flag in enumerate(flags):
         votes |= int(flag) << (LEXICONS + k)
     return votes, distinct
 
 
-def vote_counts(docs: DataFrame, lexicon: dict[str, int], id_col: str, text_col: str) -> dict[int, int]:
+def hashed_words(text: str | None, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Buckets of the distinct words of the text, without marks around them, and of their beginnings. known: buckets of words met before."""
+    out: set[int] = set()
+    for w in set(text.lower().split()) if text else ():
+        own = known.get(w)
+        if own is None:
+            bare = w.strip(_MARKS)
+            own = (zlib.crc32(bare.encode()) >> (32 - HASH_BITS), zlib.crc32(bare[:BEGINNING].encode(), 1) >> (32 - HASH_BITS))
+            if len(known) < 500_000:
+                known[w] = own
+        out.update(own)
+    return np.fromiter(out, np.int64, len(out))
+
+
+def vote_counts(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> dict[int, int]:
     """pattern of votes -> number of documents that are not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +240,8 @@ def vote_counts(docs: DataFrame, lexicon: dict[str, int], id_col: str, text_col:
 
     n, out = HELD_OUT
     rows = docs.where(~crc_mod(F.col(id_col), n).isin(*out)).select(F.col(text_col).cast("string").alias("_text"))
-    return {r["votes"]: r["n"] for r in rows.mapInArrow(run, "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+    counts = rows.mapInArrow(run, "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    return {r["votes"]: r["n"] for r in counts.orderBy(F.desc("n"), "votes").limit(MOST_PATTERNS).collect()}
 
 
 def _bits(patterns: np.ndarray) -> np.ndarray:
@@ -259,40 +342,61 @@ def _features(votes: int, ranks: list[int], n_lexicon: int) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample = labelled_sample(docs, labels, "toxic", PER_CLASS, MAX_CHARS, HELD_OUT, id_col, text_col)
-    lexicon = mine_lexicon(sample)
-    if not lexicon:
-        return Model({}, np.zeros(VOTERS + 1), -30.0, {})
+def train(sample: Sequence[tuple[int, str, int]], lexicon: Lexicon, counts: dict[int, int]) -> Model:
+    """The label model over all votes, and the classifier on its posterior labels of the sample."""
     seen = [observe(t, lexicon) for _, t, _ in sample]
     votes = np.array([s[0] for s in seen], np.int64)
-    y = np.array([label for *_, label in sample])
-    model = LabelModel(votes, y).fit(vote_counts(docs, lexicon, id_col, text_col))
+    model = LabelModel(votes, np.array([label for *_, label in sample])).fit(counts)
     soft = model.posterior(votes)
-    x = np.stack([_features(*s, len(lexicon)) for s in seen])
-    w, b = np.zeros(x.shape[1]), 0.0
+    x = np.stack([_features(*s, len(lexicon.ranks)) for s in seen])
+    known: dict[str, tuple[int, ...]] = {}
+    buckets = [hashed_words(t, known) for _, t, _ in sample]
+    sizes = np.array([len(b) for b in buckets])
+    flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sample)), sizes)
+    share = np.repeat(1 / np.sqrt(np.maximum(1, sizes)), sizes)
+    common = np.bincount(flat, minlength=1 << HASH_BITS)[flat] >= LEAST_DOCS
+    owner, share = owner[common], share[common]
+    frequent, flat = np.unique(flat[common], return_inverse=True)
+    w, h, b = np.zeros(x.shape[1]), np.zeros(len(frequent)), 0.0
     # each class as a whole weighs the same
     weight = np.where(soft > 0.5, 0.5 / max(1, (soft > 0.5).sum()), 0.5 / max(1, (soft <= 0.5).sum())) * len(x)
-    speed = np.full(x.shape[1] + 1, 1e-8)
-    for _ in range(600):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = weight * (p - soft) / len(x)
+    speed, speed_h = np.full(x.shape[1] + 1, 1e-8), np.full(len(frequent), 1e-8)
+    for _ in range(200):
+        z = x @ w + b + np.bincount(owner, share * h[flat], len(x))
+        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft) / len(x)
         g = np.append(x.T @ e + 1e-4 * w, e.sum())
         speed += g * g
         step = 0.3 * g / np.sqrt(speed)
         w, b = w - step[:-1], b - step[-1]
-    names = [f"lexicon_{i}" for i in range(LEXICONS)] + list(PATTERNS)
+        g = np.bincount(flat, share * e[owner], len(frequent)) + HASH_PENALTY * h
+        speed_h += g * g
+        h = h - 0.05 * g / np.sqrt(speed_h)
+    hashed = np.zeros(1 << HASH_BITS, np.float32)
+    hashed[frequent] = h
+    names = [f"{kind}_{i}" for i in range(GROUPS) for kind in ("words", "stems")] + list(PATTERNS)
     voters = {k: {"fires_if_toxic": float(model.table[i, 1].mean()), "fires_if_clean": float(model.table[i, 0].mean()), "depends_on": names[model.parent[i]] if model.parent[i] >= 0 else None} for i, k in enumerate(names)}
-    return Model(lexicon, w, float(b), voters)
+    return Model(lexicon, w, hashed, float(b), voters)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    sample = labelled_sample(docs, labels, "toxic", PER_CLASS, MAX_CHARS, HELD_OUT, id_col, text_col)
+    lexicon = group_lexicon(mine_lexicon(sample), sample)
+    if not lexicon.ranks:
+        return Model(lexicon, np.zeros(VOTERS + 1), np.zeros(1 << HASH_BITS, np.float32), -30.0, {})
+    return train(sample, lexicon, vote_counts(docs, lexicon, id_col, text_col))
 
 
-def probability(text: str | None, model: Model) -> float:
+def probability(text: str | None, model: Model, known: dict[str, tuple[int, ...]]) -> float:
     votes, ranks = observe(text, model.lexicon)
-    n = len(model.lexicon)
+    n = len(model.lexicon.ranks)
     z = model.offset + float(model.weights[ranks].sum()) + float(model.weights[-1]) * min(len(ranks), 8) / 4
     for i in range(VOTERS):
         if votes >> i & 1:
             z += float(model.weights[n + i])
+    words = hashed_words(text, known)
+    if len(words):
+        z += float(model.hashed[words].sum()) / len(words) ** 0.5
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -300,8 +404,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, held_out, score, predicted) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            s = np.array([probability(t, model) for t in b.column("_text").to_pylist()], float)
+            s = np.array([probability(t, model, known) for t in b.column("_text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -426,7 +426,7 @@ def learned(spark):
 def test_toxicity_on_held_out_rows(spark, learned, awkward, empty):
     docs, labels = learned
     model = toxicity.fit(docs, labels)
-    assert all(toxicity._rank(w, model.lexicon) is not None for w in ("zork", "blarg", "frell", "smeg", "gorram", "dren"))
+    assert all(toxicity._rank(w, model.lexicon.ranks) is not None for w in ("zork", "blarg", "frell", "smeg", "gorram", "dren"))
     got = toxicity.score(docs, model).join(labels, "doc_id").collect()
     held = [r for r in got if r.held_out]
     assert held and {r.doc_id for r in held} == {r.doc_id for r in got if crc(r.doc_id, 5) == 0}
@@ -441,7 +441,7 @@ def test_toxicity_learns_nothing_from_held_out_labels(learned):
     docs, labels = learned
     flipped = labels.withColumn("toxic", F.expr("if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic)"))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
-    assert a.lexicon == b.lexicon and np.allclose(a.weights, b.weights)
+    assert a.lexicon.ranks == b.lexicon.ranks and a.lexicon.voter == b.lexicon.voter and np.allclose(a.weights, b.weights) and np.allclose(a.hashed, b.hashed)
 
 
 def test_label_model_finds_accuracies_and_correlation():
@@ -459,6 +459,29 @@ def test_label_model_finds_accuracies_and_correlation():
     assert np.mean((model.posterior(bits) > 0.5) == y) > 0.97
 
 
+def test_label_model_posterior_by_enumeration():
+    """The posterior of every vote pattern of six voters that fire at random is that of the model's own probabilities, which sum to 1."""
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 64, 4000)
+    model = toxicity.LabelModel(bits, rng.integers(0, 2, 4000), rounds=5, dependent=0.0).fit(dict(collections.Counter(bits.tolist())))
+    joint = np.zeros((64, 2))
+    for p in range(64):
+        for y in (0, 1):
+            q = model.prior[y]
+            for i in range(toxicity.VOTERS):
+                parent = model.parent[i]
+                one = model.table[i, y, p >> parent & 1 if parent >= 0 else 0]
+                q *= one if p >> i & 1 else 1 - one
+            joint[p, y] = q
+    assert np.allclose(model.posterior(np.arange(64)), joint[:, 1] / joint.sum(1), atol=1e-9)
+
+
+def test_finder_finds_words_and_stems():
+    entries = ["smeg$", "smeg", "idio", "dolt$", "a.b$"]
+    found = toxicity._finder(entries).findall("Smeg smegma idiots dolts dolt xsmeg a.b axb".lower())
+    assert found == ["smeg", "smegma", "idiots", "dolt", "a.b"] and toxicity._finder([]) is None
+
+
 def test_quality_on_held_out_rows(spark, learned, awkward, empty):
     docs, labels = learned
     model = quality_compress.fit(docs, labels)
