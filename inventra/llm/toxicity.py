@@ -362,7 +362,7 @@ def train(sample: Sequence[tuple[int, str, int]], lexicon: Lexicon, counts: dict
     # each class as a whole weighs the same
     weight = np.where(soft > 0.5, 0.5 / max(1, (soft > 0.5).sum()), 0.5 / max(1, (soft <= 0.5).sum())) * len(x)
     speed, speed_h = np.full(x.shape[1] + 1, 1e-8), np.full(len(frequent), 1e-8)
-    for _ in range(200):
+    for _ in range(400):
         z = x @ w + b + np.bincount(owner, share * h[flat], len(x))
         e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft) / len(x)
         g = np.append(x.T @ e + 1e-4 * w, e.sum())
