@@ -6,6 +6,7 @@ Prefix joins are avoided throughout: a path is exploded into its ancestors, and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inventra.functions.paths import ancestors, parent, segments
@@ -25,11 +26,14 @@ def _names(values: tuple[str, ...]) -> Column:
 
 
 def summaries(entries: DataFrame) -> DataFrame:
-    """Of every directory of a source, recursively: files, bytes, distinct contents, duplicates, newest and oldest, and a digest of its contents."""
+    """Of every directory of a source, recursively: files, bytes, distinct contents, duplicates, newest and oldest, and a digest of its contents: the
+    exclusive or of the first two times 60 bits of its distinct hashes, which has no order and combines on the map side."""
     e = entries.select("source_root", F.explode(ancestors("relative_path")).alias("dir"), "size_bytes", "modified_at", "full_hash")
-    out = e.groupBy("source_root", "dir").agg(
-        F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.count_distinct("full_hash").alias("unique_hashes"), F.min("modified_at").alias("oldest"), F.max("modified_at").alias("newest"),
-        F.sha2(F.array_join(F.array_sort(F.collect_set("full_hash")), "|"), 256).alias("digest"),
+    each = e.groupBy("source_root", "dir", "full_hash").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.min("modified_at").alias("oldest"), F.max("modified_at").alias("newest"))
+    bits = lambda at: F.bit_xor(F.conv(F.substring("full_hash", at, 15), 16, 10).cast("long"))
+    out = each.groupBy("source_root", "dir").agg(
+        F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), F.count("full_hash").alias("unique_hashes"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"),
+        F.coalesce(bits(1), F.lit(0)).alias("digest_1"), F.coalesce(bits(16), F.lit(0)).alias("digest_2"),
     )
     return out.withColumn("duplicates", F.col("files") - F.col("unique_hashes"))
 
@@ -40,20 +44,41 @@ def extension_map(entries: DataFrame) -> DataFrame:
     return e.groupBy("source_root", "dir", "suffix").agg(F.count("*").alias("files"))
 
 
-def set_overlap(members: DataFrame, group: str, item: str, most_groups: int = 64, least_items: int = 1, containment: float = 0.9) -> DataFrame:
-    """(a, b, shared, size_a, size_b, containment, jaccard) of groups that share an item held by at most most_groups groups, and reach the
-    containment of the smaller in the larger. The pairs come from an inverted index whose fan-out the cap bounds (a parameter, as a
-    very common item says nothing about kinship); shared counts are over all items."""
-    # read six times below, so written once
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """(g, size, rep) of distinct (g, i): rep is the smallest group with the same items, known by their number and two order-free digests, which
+    combine on the map side however large a set is."""
+    own = sets.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("i")).alias("_x"), F.bit_xor(F.xxhash64(F.lit("second"), "i")).alias("_y"))
+    reps = own.groupBy("size", "_x", "_y").agg(F.min("g").alias("rep"))
+    return own.join(reps, ["size", "_x", "_y"]).select("g", "size", "rep")
+
+
+def set_overlap(members: DataFrame, group: str, item: str, least_items: int = 1, containment: float = 0.9) -> DataFrame:
+    """(a, b, shared, size_a, size_b, containment, jaccard) of all groups that reach the containment of the smaller in the larger; exact, without a
+    cap on how many groups hold an item.
+
+    Items are ordered by the number of their holders. A set that has the share t of its n items in another one has one of them among its
+    n - ceil(t n) + 1 rarest; those alone are met with the items of larger sets. The bound is taken from a histogram of holders for each
+    group, so no group is sorted. Equal sets are compared as one; a copy is linked to the first of them only."""
     sets = staged(members.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col("i").isNotNull()).distinct())
-    sizes = sets.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= least_items)
-    sets = sets.join(sizes.select("g"), "g", "left_semi")
-    spread = sets.groupBy("i").agg(F.count("*").alias("holders")).where((F.col("holders") >= 2) & (F.col("holders") <= most_groups))
-    rare = sets.join(spread.select("i"), "i", "left_semi")
-    pairs = rare.select(F.col("i"), F.col("g").alias("a")).join(rare.select(F.col("i"), F.col("g").alias("b")), "i").where("a < b").select("a", "b").distinct()
-    shared = pairs.join(sets.select(F.col("g").alias("a"), "i"), "a").join(sets.select(F.col("g").alias("b"), "i"), ["b", "i"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes.select(F.col("g").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("g").alias("b"), F.col("size").alias("size_b")), "b")
-    out = out.withColumn("containment", F.col("shared") / F.least("size_a", "size_b")).withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    sizes = staged(equal_sets(sets).where(F.col("size") >= least_items))
+    reps = sizes.where("g = rep").select("g", "size")
+    own = staged(sets.join(reps, "g"))
+    holders = own.groupBy("i").agg(F.count("*").alias("holders")).where("holders > 1")
+    own = staged(own.join(holders, "i"))
+    so_far = W.partitionBy("g").orderBy("holders").rowsBetween(W.unboundedPreceding, -1)
+    alone = own.groupBy("g").agg(F.count("*").alias("_met"))
+    hist = own.groupBy("g", "size", "holders").agg(F.count("*").alias("_n")).join(alone, "g")
+    # items that no other group holds come first in the order
+    hist = hist.withColumn("_before", F.col("size") - F.col("_met") + F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
+    cut = hist.where(F.col("_before") < F.col("size") - F.ceil(F.col("size") * containment - 1e-9) + 1).groupBy("g").agg(F.max("holders").alias("_most"))
+    small = own.join(cut, "g").where("holders <= _most").select("i", F.col("g").alias("s"), F.col("size").alias("_ns"))
+    large = own.select("i", F.col("g").alias("l"), F.col("size").alias("_nl"))
+    pairs = small.join(large, "i").where((F.col("_ns") < F.col("_nl")) | (F.col("_ns") == F.col("_nl")) & (F.col("s") != F.col("l")))
+    pairs = pairs.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    shared = pairs.join(own.select(F.col("g").alias("a"), "i"), "a").join(own.select(F.col("g").alias("b"), "i"), ["b", "i"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    out = shared.join(reps.select(F.col("g").alias("a"), F.col("size").alias("size_a")), "a").join(reps.select(F.col("g").alias("b"), F.col("size").alias("size_b")), "b").select("a", "b", "shared", "size_a", "size_b")
+    copies = sizes.where("g <> rep").select(F.col("rep").alias("a"), F.col("g").alias("b"), F.col("size").alias("shared"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
+    out = out.unionByName(copies).withColumn("containment", F.col("shared") / F.least("size_a", "size_b")).withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
     return out.where(F.col("containment") >= containment)
 
 

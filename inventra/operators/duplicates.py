@@ -39,10 +39,15 @@ def size_candidates(entries: DataFrame) -> DataFrame:
     return entries.join(sizes, "size_bytes").select("entry_id", "size_bytes", "same_size")
 
 
+def file_identity() -> Column:
+    """What hard links of one file share: device and inode, if both are known and the file system reports further links; else the entry itself."""
+    linked = F.col("device").isNotNull() & F.col("inode").isNotNull() & (F.col("nlink") > 1)
+    return F.when(linked, F.concat_ws(":", "device", "inode")).otherwise(F.concat(F.lit("entry:"), F.col("entry_id")))
+
+
 def inode_groups(entries: DataFrame) -> DataFrame:
     """Duplicate groups with the number of distinct files behind them (hard links count once), and both kinds of reclaimable bytes."""
-    file = F.when(F.col("inode").isNotNull(), F.concat(F.lit("inode:"), F.col("inode"))).otherwise(F.concat(F.lit("entry:"), F.col("entry_id")))
-    g = entries.where(F.col("full_hash").isNotNull()).groupBy(*CONTENT).agg(F.count("*").alias("members"), F.count_distinct(file).alias("files"), F.min("entry_id").alias("first_id")).where("members > 1")
+    g = entries.where(F.col("full_hash").isNotNull()).groupBy(*CONTENT).agg(F.count("*").alias("members"), F.count_distinct(file_identity()).alias("files"), F.min("entry_id").alias("first_id")).where("members > 1")
     return g.select("full_hash", "size_bytes", "members", "files", "first_id", (F.col("size_bytes") * (F.col("files") - 1)).alias("reclaimable_inode"), (F.col("size_bytes") * (F.col("members") - 1)).alias("reclaimable_paths"))
 
 
@@ -97,9 +102,11 @@ def canonical_roles(groups_: DataFrame) -> DataFrame:
 
 
 def representatives(entries: DataFrame) -> DataFrame:
-    """One entry of each inode is hashed, the others take its digest."""
-    first = entries.groupBy("inode").agg(F.min_by("full_hash", "entry_id").alias("digest"), F.min("entry_id").alias("hashed_entry"))
-    return entries.join(first, "inode").select("entry_id", "hashed_entry", "digest", (F.col("entry_id") == F.col("hashed_entry")).alias("read"))
+    """One entry of each file is read, the others take its digest; if reading the first failed, the next one that has a digest stands in."""
+    e = entries.withColumn("_file", file_identity())
+    order = F.struct(F.col("full_hash").isNull(), F.col("entry_id"))
+    first = e.groupBy("_file").agg(F.min_by("full_hash", order).alias("digest"), F.min_by("entry_id", order).alias("hashed_entry"))
+    return e.join(first, "_file").select("entry_id", "hashed_entry", "digest", (F.col("entry_id") == F.col("hashed_entry")).alias("read"))
 
 
 def keeper(entries: DataFrame, rule: str, prefix: str = "") -> DataFrame:

@@ -102,7 +102,7 @@ def errors(entries: DataFrame) -> DataFrame:
     return entries.where((F.col("scan_status") == "ERROR") | F.col("analysis_failed")).groupBy(kind.alias("stage"), "suffix").agg(F.count("*").alias("errors")).orderBy(F.desc("errors"), "stage", "suffix")
 
 
-def normalised(docs: DataFrame, most: int = 2000, text_col: str = "text") -> DataFrame:
+def normalised(docs: DataFrame, most: int = 2_000_000, text_col: str = "text") -> DataFrame:
     """(doc_id, text, characters, words, digest): white space collapsed, cut to so many characters."""
     t = F.substring(F.trim(F.regexp_replace(F.col(text_col), "[ \\t\\n\\r\\f\\x0B]+", " ")), 1, most)
     df = docs.select("doc_id", t.alias("text"))

@@ -27,11 +27,26 @@ def largest_changes(changes: DataFrame, n: int = 10) -> DataFrame:
 
 
 def moves(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(new_path, old_path): NEW paths whose (device, inode, size) is that of a MISSING one; of several, the first old path."""
-    new = changes.where("status = 'NEW'").select(F.col("after_id").alias("id")).join(after.select("id", "path", "size", "device", "inode"), "id")
-    old = changes.where("status = 'MISSING'").select(F.col("before_id").alias("id")).join(before.select("id", "path", "size", "device", "inode"), "id")
-    gone = old.groupBy("inode", "size").agg(F.min("path").alias("old_path"))
-    return new.join(gone, ["inode", "size"]).select(F.col("path").alias("new_path"), "old_path")
+    """(new_path, old_path, evidence) of NEW paths that a MISSING one may have become; of several old paths the first. before and after have
+    (id, path, size, device, inode, quick, digest); the strongest evidence counts: equal verified digests, then equal quick hashes and sizes, then
+    equal (device, inode, size). An unknown value is evidence of nothing. Hints only: digests are not carried over by them."""
+    cols = ("path", "size", "device", "inode", "quick", "digest")
+    new = changes.where("status = 'NEW'").select(F.col("after_id").alias("id")).join(after.select("id", *cols), "id")
+    old = changes.where("status = 'MISSING'").select(F.col("before_id").alias("id")).join(before.select("id", *cols), "id")
+    out = new
+    kinds = (("VERIFIED_CONTENT", ["digest"]), ("QUICK_HASH", ["quick", "size"]), ("SAME_DEVICE_INODE", ["device", "inode", "size"]))
+    for k, (_, keys) in enumerate(kinds):
+        known = old.dropna(subset=keys).groupBy(*keys).agg(F.min("path").alias(f"old_{k}"))
+        out = out.join(known, keys, "left")
+    found = [F.when(F.col(f"old_{k}").isNotNull(), F.struct(F.col(f"old_{k}").alias("old"), F.lit(name).alias("evidence"))) for k, (name, _) in enumerate(kinds)]
+    return out.withColumn("_m", F.coalesce(*found)).where("_m is not null").select(F.col("path").alias("new_path"), F.col("_m.old").alias("old_path"), F.col("_m.evidence").alias("evidence"))
+
+
+def reappeared(changes: DataFrame, history: DataFrame) -> DataFrame:
+    """(path, previous_id) of NEW paths that an earlier change recorded as MISSING; history has (change_id, path, status, entry_id), and the latest
+    record counts. The content needs a full hash to confirm."""
+    gone = history.where("status = 'MISSING'").groupBy("path").agg(F.max_by("entry_id", "change_id").alias("previous_id"))
+    return changes.where("status = 'NEW'").select("path").join(gone, "path")
 
 
 def carried(changes: DataFrame, digests: DataFrame) -> DataFrame:
@@ -48,39 +63,31 @@ def sessions(events: DataFrame, gap_seconds: int, by: str | None = None, least:
     """(event, cluster, sequence_index, members): events in order of (time, id), a new cluster when the gap is exceeded, clusters numbered with the dropped
     small ones counted.
 
-    With a key (`by`) the order is kept within the key. Without one, nothing is ordered in a single task: events are grouped by buckets of the gap's
+    Nothing is ordered in a single task, with a key (`by`) or without: events are grouped by buckets of the gap's
     length, a cluster can only break where a bucket's first event is more than a gap after the last of the bucket before, so breaks are found inside
-    buckets and between neighbouring bucket summaries, and numbers come from running sums over the (far fewer) summaries."""
+    buckets and between neighbouring bucket summaries; numbers and positions come from running sums over the (far fewer) summaries, which are
+    themselves summed by blocks of buckets first. A position is the event's rank among all less that of its cluster's first."""
     order = [F.col(ts), F.col(id_col)]
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.withColumn("_t", micros)
+    key = [by] if by is not None else []
     gap = gap_seconds * 1_000_000
-    if by is not None:
-        w = W.partitionBy(by).orderBy(*order)
-        e = e.withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(w) > gap, F.lit(True)))
-        e = e.withColumn("cluster", F.sum(F.col("_new").cast("long")).over(w))
-        key = [by, "cluster"]
-    else:
-        e = e.withColumn("_b", F.expr(f"_t div {gap}"))
-        w = W.partitionBy("_b").orderBy(*order)
-        ends = e.groupBy("_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-        # one row per bucket that holds events; buckets are ranged over by blocks first
-        ends = ends.withColumn("_block", F.expr("_b div 4096"))
-        inner = W.partitionBy("_block").orderBy("_b")
-        blocks = ends.groupBy("_block").agg(F.max("_hi").alias("_bhi"))
-        blocks = blocks.withColumn("_before", F.lag("_bhi").over(W.orderBy("_block"))).select("_block", "_before")
-        ends = ends.join(blocks, "_block").withColumn("_prev", F.coalesce(F.lag("_hi").over(inner), F.col("_before")))
-        e = e.join(ends.select("_b", "_prev"), "_b")
-        e = e.withColumn("_new", F.coalesce(F.col("_t") - F.coalesce(F.lag("_t").over(w), F.col("_prev")) > gap, F.lit(True)).cast("long"))
-        per = e.groupBy("_b").agg(F.sum("_new").alias("_n")).withColumn("_block", F.expr("_b div 4096"))
-        sums = per.groupBy("_block").agg(F.sum("_n").alias("_bn"))
-        sums = sums.withColumn("_base", F.coalesce(F.sum("_bn").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_block", "_base")
-        per = per.join(sums, "_block").withColumn("_start", F.col("_base") + F.coalesce(F.sum("_n").over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_b", "_start")
-        e = e.join(per, "_b").withColumn("cluster", F.col("_start") + F.sum("_new").over(w))
-        key = ["cluster"]
-    sized = e.groupBy(*key).agg(F.count("*").alias("members")).where(F.col("members") >= least)
-    e = e.join(sized, key)
-    return e.withColumn("sequence_index", F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1).select(*([by] if by else []), id_col, "cluster", F.col("sequence_index").cast("long").alias("sequence_index"), "members")
+    e = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_b", F.expr(f"_t div {gap}"))
+    w = W.partitionBy(*key, "_b").orderBy(*order)
+    inner = W.partitionBy(*key, "_block").orderBy("_b")
+    outer = W.partitionBy(*key).orderBy("_block")
+    past = (W.unboundedPreceding, -1)
+    ends = e.groupBy(*key, "_b").agg(F.max("_t").alias("_hi"), F.count("*").alias("_n")).withColumn("_block", F.expr("_b div 4096"))
+    blocks = ends.groupBy(*key, "_block").agg(F.max("_hi").alias("_bhi"), F.sum("_n").alias("_bn"))
+    blocks = blocks.select(*key, "_block", F.lag("_bhi").over(outer).alias("_before"), F.coalesce(F.sum("_bn").over(outer.rowsBetween(*past)), F.lit(0)).alias("_ranked"))
+    ends = ends.join(blocks, [*key, "_block"]).select(*key, "_b", F.coalesce(F.lag("_hi").over(inner), F.col("_before")).alias("_prev"), (F.col("_ranked") + F.coalesce(F.sum("_n").over(inner.rowsBetween(*past)), F.lit(0))).alias("_ahead"))
+    e = e.join(ends, [*key, "_b"]).withColumn("_rank", F.col("_ahead") + F.row_number().over(w))
+    e = e.withColumn("_new", F.coalesce(F.col("_t") - F.coalesce(F.lag("_t").over(w), F.col("_prev")) > gap, F.lit(True)).cast("long"))
+    per = e.groupBy(*key, "_b").agg(F.sum("_new").alias("_n")).withColumn("_block", F.expr("_b div 4096"))
+    sums = per.groupBy(*key, "_block").agg(F.sum("_n").alias("_bn"))
+    sums = sums.select(*key, "_block", F.coalesce(F.sum("_bn").over(outer.rowsBetween(*past)), F.lit(0)).alias("_base"))
+    per = per.join(sums, [*key, "_block"]).select(*key, "_b", (F.col("_base") + F.coalesce(F.sum("_n").over(inner.rowsBetween(*past)), F.lit(0))).alias("_start"))
+    e = e.join(per, [*key, "_b"]).withColumn("cluster", F.col("_start") + F.sum("_new").over(w))
+    sized = e.groupBy(*key, "cluster").agg(F.count("*").alias("members"), F.min("_rank").alias("_first")).where(F.col("members") >= least)
+    return e.join(sized, [*key, "cluster"]).select(*key, id_col, "cluster", (F.col("_rank") - F.col("_first")).alias("sequence_index"), "members")
 
 
 def current_runs(runs: DataFrame) -> DataFrame:

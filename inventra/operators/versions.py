@@ -35,11 +35,20 @@ def families(entries: DataFrame) -> DataFrame:
     return g.where("contents > 1")
 
 
-def pairs(entries: DataFrame) -> DataFrame:
-    """Different contents of one stem, each content once."""
+def pairs(entries: DataFrame, pairwise: int = 16) -> DataFrame:
+    """Different contents of one stem, each content once: all pairs of up to `pairwise` contents, else each with the first, so links grow with contents."""
     f = _named(entries).groupBy("stem", "full_hash").agg(F.min("entry_id").alias("id"))
-    p = f.select("stem", F.col("id").alias("a")).join(f.select("stem", F.col("id").alias("b")), "stem").where("a < b")
-    return p.select("stem", "a", "b", F.lit("LIKELY_VERSION_OF").alias("type"), F.lit(1.0).alias("confidence"))
+    linked = equivalences(f.select(F.col("stem").alias("h"), "id"), pairwise, keep=True)
+    return linked.select(F.col("h").alias("stem"), "a", "b", F.lit("LIKELY_VERSION_OF").alias("type"), F.lit(1.0).alias("confidence"))
+
+
+def name_similarity(entries: DataFrame, pairwise: int = 16) -> DataFrame:
+    """(a, b, ratio) of different names of one stem, each name once under its smallest id; pairs as in pairs()."""
+    f = entries.groupBy(stem("name").alias("h"), "name").agg(F.min("entry_id").alias("id"))
+    linked = equivalences(f.select("h", "id"), pairwise, keep=True)
+    names = f.select("id", "name")
+    both = linked.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
+    return both.select("a", "b", ratio("na", "nb").alias("ratio"))
 
 
 def derivations(entries: DataFrame, close_seconds: float = 3600.0) -> DataFrame:
@@ -52,13 +61,14 @@ def derivations(entries: DataFrame, close_seconds: float = 3600.0) -> DataFrame:
     return j.select(F.col("a_entry_id").alias("source"), F.col("b_entry_id").alias("target"), F.when(near, 0.85).otherwise(0.75).alias("confidence"), F.lit("LIKELY_EXPORT").alias("type"))
 
 
-def equivalences(hashes: DataFrame, pairwise: int = 16) -> DataFrame:
-    """(a, b) of members with one normalised hash: all pairs of small groups, a star of large ones, so links grow with members."""
+def equivalences(hashes: DataFrame, pairwise: int = 16, keep: bool = False) -> DataFrame:
+    """(a, b) of members (h, id) with one value: all pairs of small groups, a star of large ones, so links grow with members. keep: with h."""
     g = hashes.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     small = hashes.join(g.where(F.col("n") <= pairwise).select("h"), "h")
-    near = small.select("h", F.col("id").alias("a")).join(small.select("h", F.col("id").alias("b")), "h").where("a < b").select("a", "b")
-    star = hashes.join(g.where(F.col("n") > pairwise).select("h", F.col("first").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"))
-    return near.unionByName(star)
+    near = small.select("h", F.col("id").alias("a")).join(small.select("h", F.col("id").alias("b")), "h").where("a < b").select("h", "a", "b")
+    star = hashes.join(g.where(F.col("n") > pairwise).select("h", F.col("first").alias("a")), "h").where("id <> a").select("h", "a", F.col("id").alias("b"))
+    both = near.unionByName(star)
+    return both if keep else both.drop("h")
 
 
 def ratio(a: str, b: str) -> Column:

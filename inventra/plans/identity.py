@@ -42,7 +42,7 @@ def size_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return op.size_candidates(entries(spark, sf))
 
 
-_INODES = f"""WITH {ENTRIES}, g AS (SELECT full_hash, size_bytes, count(*) AS members, count(DISTINCT coalesce('inode:' || inode, 'entry:' || entry_id)) AS files, min(entry_id) AS first_id
+_INODES = f"""WITH {ENTRIES}, g AS (SELECT full_hash, size_bytes, count(*) AS members, count(DISTINCT CASE WHEN device IS NOT NULL AND inode IS NOT NULL AND nlink > 1 THEN device || ':' || inode ELSE 'entry:' || entry_id END) AS files, min(entry_id) AS first_id
  FROM entries WHERE full_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
  r AS (SELECT *, size_bytes * (files - 1) AS reclaimable_inode, size_bytes * (members - 1) AS reclaimable_paths FROM g)"""
 
@@ -97,8 +97,9 @@ def canonical_roles(spark: SparkSession, sf: str) -> DataFrame:
     return op.canonical_roles(op.groups(entries(spark, sf)))
 
 
-@query(f"""WITH {ENTRIES}, r AS (SELECT inode, arg_min_null(full_hash, entry_id) AS digest, min(entry_id) AS hashed_entry FROM entries GROUP BY 1)
-SELECT entry_id, hashed_entry, digest, entry_id = hashed_entry AS read FROM entries JOIN r USING (inode)""")
+@query(f"""WITH {ENTRIES}, f AS (SELECT *, CASE WHEN device IS NOT NULL AND inode IS NOT NULL AND nlink > 1 THEN device || ':' || inode ELSE 'entry:' || entry_id END AS file FROM entries),
+ r AS (SELECT file, min(full_hash) AS digest, coalesce(min(entry_id) FILTER (full_hash IS NOT NULL), min(entry_id)) AS hashed_entry FROM f GROUP BY 1)
+SELECT entry_id, hashed_entry, (SELECT full_hash FROM entries e WHERE e.entry_id = hashed_entry) AS digest, entry_id = hashed_entry AS read FROM f JOIN r USING (file)""")
 def hash_representatives(spark: SparkSession, sf: str) -> DataFrame:
     return op.representatives(entries(spark, sf))
 

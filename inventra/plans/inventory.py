@@ -133,16 +133,17 @@ def file_type_detection(spark: SparkSession, sf: str) -> DataFrame:
     return entries(spark, sf).withColumn("mime", op.mime("suffix")).select("entry_id", "mime", op.high_level_type("mime", "suffix").alias("kind"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))[1:2000] AS t FROM documents) SELECT doc_id, length(t)::INT AS characters, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END::INT AS words, sha256(t) AS digest FROM n""")
+@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))[1:2000000] AS t FROM documents) SELECT doc_id, length(t)::INT AS characters, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END::INT AS words, sha256(t) AS digest FROM n""")
 def normalised_texts(spark: SparkSession, sf: str) -> DataFrame:
     return op.normalised(table(spark, sf, "documents"))
 
 
-@query("SELECT doc_id, replace(lower(nfc_normalize(text)), chr(223), 'ss')[1:40] AS head FROM documents")
+@query()
 def folded_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """NFKC and case folding by a vectorised function; these texts have no compatibility forms, so NFC and lower case are the same on their first letters."""
+    """Digest and length of the whole text after NFKC and case folding by a vectorised function; SQL has neither."""
     fold = F.pandas_udf(folded, T.StringType())
-    return table(spark, sf, "documents").select("doc_id", F.substring(fold("text"), 1, 40).alias("head"))
+    t = table(spark, sf, "documents").select("doc_id", fold("text").alias("t"))
+    return t.select("doc_id", F.length("t").alias("characters"), F.sha2("t", 256).alias("digest"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -14,8 +14,9 @@ from inventra.sources.bindings import CHUNKS, ENTRIES, chunks, descriptors, entr
 
 _TOK = r"tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)"
 _SH = rf"""{_TOK}, sh AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM tok WHERE len(t) >= 20))"""
-_PAIRS = f"""{_SH}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
- j AS (SELECT a, b, shared, na.n AS size_a, nb.n AS size_b, shared / (na.n + nb.n - shared)::DOUBLE AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b)"""
+_PAIRS = f"""{_SH}, z AS (SELECT doc_id, count(*) AS n, sha256(array_to_string(list_sort(list(s)), '|')) AS k FROM sh GROUP BY 1), g AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS rep FROM z),
+ n AS (SELECT doc_id, n FROM g WHERE doc_id = rep), r AS (SELECT sh.* FROM sh JOIN n USING (doc_id)), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM r x JOIN r y USING (s) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+ j AS (SELECT a, b, shared, na.n AS size_a, nb.n AS size_b, shared / (na.n + nb.n - shared)::DOUBLE AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b UNION ALL SELECT rep, doc_id, n, n, n, 1.0 FROM g WHERE doc_id <> rep)"""
 
 
 @query(f"WITH {_TOK} SELECT doc_id, len(t)::INT AS tokens, len(list_distinct(t))::INT AS distinct_tokens FROM tok")
@@ -31,7 +32,7 @@ def shingle_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS confidence, CASE WHEN jaccard >= 0.95 THEN 'NEAR_DUPLICATE_DOCUMENT' ELSE 'TEXTUALLY_SIMILAR' END AS type, 5 AS tier FROM j WHERE jaccard >= 0.8")
 def near_duplicate_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of exact Jaccard similarity 0.8 or more: a superset of what sketches find."""
+    """All pairs of exact Jaccard similarity 0.8 or more, a superset of what sketches find; texts of equal shingles are linked to the first of them."""
     return sm.near_duplicates(spread(table(spark, sf, "documents")))
 
 
@@ -56,9 +57,18 @@ def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
     return ch.index(chunks(spark, sf))
 
 
-@query(f"""WITH {CHUNKS}, s AS (SELECT DISTINCT doc_id, chunk_hash, size_bytes FROM chunks), t AS (SELECT doc_id, sum(size_bytes)::BIGINT AS total FROM s GROUP BY 1),
- r AS (SELECT chunk_hash FROM chunks GROUP BY 1 HAVING count(*) <= 256 AND count(DISTINCT doc_id) BETWEEN 2 AND 256), p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (chunk_hash) JOIN r USING (chunk_hash) WHERE x.doc_id < y.doc_id),
- o AS (SELECT a, b, count(*) AS shared_chunks, sum(x.size_bytes)::BIGINT AS shared_bytes FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.chunk_hash = x.chunk_hash GROUP BY 1, 2)
+_CLASSES = f"""WITH {CHUNKS}, s0 AS (SELECT DISTINCT doc_id, chunk_hash, size_bytes FROM chunks), k AS (SELECT doc_id, sum(size_bytes)::BIGINT AS total, sha256(array_to_string(list_sort(list(chunk_hash)), '|')) AS k FROM s0 GROUP BY 1),
+ m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep, total FROM k)"""
+
+
+@query(_CLASSES + " SELECT * FROM m")
+def chunk_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Which object stands for each in chunk_overlap."""
+    return ch.classes(chunks(spark, sf))
+
+
+@query(_CLASSES + """, t AS (SELECT doc_id, total FROM m WHERE doc_id = rep), s AS (SELECT s0.* FROM s0 JOIN t USING (doc_id)),
+ o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared_chunks, sum(x.size_bytes)::BIGINT AS shared_bytes FROM s x JOIN s y USING (chunk_hash) WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
 SELECT a, b, shared_chunks, shared_bytes, round(shared_bytes / ta.total::DOUBLE, 6) AS a_in_b, round(shared_bytes / tb.total::DOUBLE, 6) AS b_in_a, round(shared_bytes / (ta.total + tb.total - shared_bytes)::DOUBLE, 6) AS jaccard,
  CASE WHEN greatest(shared_bytes / ta.total::DOUBLE, shared_bytes / tb.total::DOUBLE) >= 0.9 THEN 'NEAR_SUBSET_CONTENT' ELSE 'PARTIAL_CONTENT_OVERLAP' END AS type FROM o JOIN t ta ON ta.doc_id = a JOIN t tb ON tb.doc_id = b WHERE shared_bytes >= 256""")
 def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,10 +138,11 @@ def version_families(spark: SparkSession, sf: str) -> DataFrame:
     return ve.families(entries(spark, sf))
 
 
-@query(f"""WITH {ENTRIES}, {_FAMILY}, f AS (SELECT stem, full_hash, min(entry_id) AS id FROM v WHERE starts_with(stem, 'doc_') GROUP BY 1, 2)
-SELECT x.stem, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, 'LIKELY_VERSION_OF' AS type, 1.0::DOUBLE AS confidence FROM f x JOIN f y ON x.stem = y.stem AND x.id < y.id""")
+@query(f"""WITH {ENTRIES}, {_FAMILY}, f AS (SELECT stem, full_hash, min(entry_id) AS id FROM v GROUP BY 1, 2), g AS (SELECT stem, count(*) AS n, min(id) AS first_id FROM f GROUP BY 1)
+SELECT x.stem, x.id AS a, y.id AS b, 'LIKELY_VERSION_OF' AS type, 1.0::DOUBLE AS confidence FROM f x JOIN f y ON x.stem = y.stem AND x.id < y.id JOIN g ON g.stem = x.stem WHERE n <= 16 OR x.id = first_id""")
 def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return ve.pairs(entries(spark, sf).where("name LIKE 'doc~_%' ESCAPE '~'"))
+    """Contents of one stem: all pairs of up to 16, else each with the first."""
+    return ve.pairs(entries(spark, sf))
 
 
 @query(f"""WITH {ENTRIES}, {_FAMILY}, a AS (SELECT * FROM v WHERE suffix IN ('.docx', '.pptx', '.xlsx', '.md', '.odt', '.ipynb', '.tex')), b AS (SELECT * FROM v WHERE suffix IN ('.pdf', '.html', '.htm'))
@@ -175,6 +186,5 @@ def fuzzy_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def filename_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    e = entries(spark, sf)
-    pairs = e.select("dir", F.col("entry_id").alias("a"), F.col("name").alias("na")).join(e.select("dir", F.col("entry_id").alias("b"), F.col("name").alias("nb")), "dir").where("a < b AND b - a <= 8")
-    return pairs.select("a", "b", ve.ratio("na", "nb").alias("ratio"))
+    """Names that share a stem, each name once; pairs as in version_pairs."""
+    return ve.name_similarity(entries(spark, sf))

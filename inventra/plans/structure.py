@@ -16,7 +16,7 @@ _ANC = "unnest([array_to_string(string_split(relative_path, '/')[1:n], '/') FOR
 
 @query(f"""WITH {ENTRIES}, a AS (SELECT source_root, {_ANC} AS dir, size_bytes, modified_at, full_hash FROM entries)
 SELECT source_root, dir, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, count(DISTINCT full_hash) AS unique_hashes, min(modified_at) AS oldest, max(modified_at) AS newest,
- sha256(coalesce(array_to_string(list_sort(list(DISTINCT full_hash) FILTER (full_hash IS NOT NULL)), '|'), '')) AS digest, count(*) - count(DISTINCT full_hash) AS duplicates FROM a GROUP BY 1, 2""")
+ coalesce(bit_xor(DISTINCT ('0x' || substr(full_hash, 1, 15))::BIGINT), 0) AS digest_1, coalesce(bit_xor(DISTINCT ('0x' || substr(full_hash, 16, 15))::BIGINT), 0) AS digest_2, count(*) - count(DISTINCT full_hash) AS duplicates FROM a GROUP BY 1, 2""")
 def directory_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return op.summaries(entries(spark, sf))
 
@@ -26,40 +26,39 @@ def directory_extensions(spark: SparkSession, sf: str) -> DataFrame:
     return op.extension_map(entries(spark, sf))
 
 
-def _overlap_sql(most: int, least: int, containment: float) -> str:
+def _overlap_sql(least: int, containment: float) -> str:
     return f"""WITH {TREE}, s AS (SELECT DISTINCT dir AS g, hash AS i FROM tree), z AS (SELECT g, count(*) AS size FROM s GROUP BY 1 HAVING count(*) >= {least}),
- t AS (SELECT s.* FROM s JOIN z USING (g)), r AS (SELECT i FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND {most}),
+ t AS (SELECT s.* FROM s JOIN z USING (g)), r AS (SELECT i FROM t GROUP BY 1 HAVING count(*) > 1),
  p AS (SELECT DISTINCT x.g AS a, y.g AS b FROM t x JOIN t y USING (i) JOIN r USING (i) WHERE x.g < y.g),
  c AS (SELECT a, b, count(*) AS shared FROM p JOIN t x ON x.g = a JOIN t y ON y.g = b AND y.i = x.i GROUP BY 1, 2),
  o AS (SELECT a, b, shared, za.size AS size_a, zb.size AS size_b, shared / least(za.size, zb.size)::DOUBLE AS containment, shared / (za.size + zb.size - shared)::DOUBLE AS jaccard
   FROM c JOIN z za ON za.g = a JOIN z zb ON zb.g = b WHERE shared / least(za.size, zb.size)::DOUBLE >= {containment})"""
 
 
-@query(_overlap_sql(64, 5, 0.5) + " SELECT a, b, shared, size_a, size_b, containment, jaccard FROM o")
+@query(_overlap_sql(5, 0.5) + " SELECT a, b, shared, size_a, size_b, containment, jaccard FROM o")
 def set_containment(spark: SparkSession, sf: str) -> DataFrame:
-    return op.set_overlap(tree(spark, sf), "dir", "hash", 64, 5, 0.5).select("a", "b", "shared", "size_a", "size_b", "containment", "jaccard")
+    return op.set_overlap(tree(spark, sf), "dir", "hash", 5, 0.5).select("a", "b", "shared", "size_a", "size_b", "containment", "jaccard")
 
 
-@query(_overlap_sql(64, 5, 0.85) + " SELECT CASE WHEN size_a <= size_b THEN a ELSE b END AS source, CASE WHEN size_a <= size_b THEN b ELSE a END AS target, 'MOSTLY_CONTAINED_IN' AS type, shared, round(containment, 6) AS confidence FROM o")
+@query(_overlap_sql(5, 0.85) + " SELECT CASE WHEN size_a <= size_b THEN a ELSE b END AS source, CASE WHEN size_a <= size_b THEN b ELSE a END AS target, 'MOSTLY_CONTAINED_IN' AS type, shared, round(containment, 6) AS confidence FROM o")
 def directory_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return op.overlap_edges(tree(spark, sf), most_groups=64, least_items=5, containment=0.85)
+    return op.overlap_edges(tree(spark, sf), least_items=5, containment=0.85)
 
 
-@query(_overlap_sql(1000000, 1, 0.85) + " SELECT a, b, shared, round(containment, 6) AS confidence, 'LIKELY_BACKUP_SUCCESSOR' AS type FROM o")
+@query(_overlap_sql(1, 0.85) + " SELECT a, b, shared, round(containment, 6) AS confidence, 'LIKELY_BACKUP_SUCCESSOR' AS type FROM o")
 def backup_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    """Directories by their direct members; every shared member counts, without a fan-out cap."""
-    found = op.set_overlap(tree(spark, sf), "dir", "hash", 1_000_000, 1, 0.85)
+    """Directories by their direct members; every shared member counts."""
+    found = op.set_overlap(tree(spark, sf), "dir", "hash", 1, 0.85)
     return found.select("a", "b", "shared", F.round("containment", 6).alias("confidence"), F.lit("LIKELY_BACKUP_SUCCESSOR").alias("type"))
 
 
-@query(f"""WITH {TREE}, m AS (SELECT DISTINCT 'arc' || (l_orderkey % 50) AS archive, sha256(l_orderkey::VARCHAR) AS hash FROM lineitem WHERE l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 100 > 3)),
+@query(f"""WITH {TREE}, m AS (SELECT DISTINCT 'arc ' || o_orderpriority AS archive, sha256(l_orderkey::VARCHAR) AS hash FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  z AS (SELECT archive, count(*) AS size FROM m GROUP BY 1), d AS (SELECT DISTINCT dir, hash FROM tree), c AS (SELECT archive, dir, count(*) AS shared FROM m JOIN d USING (hash) GROUP BY 1, 2)
 SELECT archive, dir, shared, round(shared / size::DOUBLE, 6) AS containment, CASE WHEN shared = size THEN 'ARCHIVE_OF_DIRECTORY' ELSE 'ARCHIVE_PARTIAL_SNAPSHOT_OF' END AS type, CASE WHEN shared = size THEN 2 ELSE 4 END AS tier
 FROM c JOIN z USING (archive) WHERE shared / size::DOUBLE >= 0.9""")
 def archive_of_directory(spark: SparkSession, sf: str) -> DataFrame:
-    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 100 > 3").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf, "lineitem").where("l_linenumber = 1").join(urgent, "l_orderkey", "left_semi")
-    return op.archive_matches(lines.selectExpr("concat('arc', l_orderkey % 50) AS archive", "sha2(CAST(l_orderkey AS STRING), 256) AS hash"), tree(spark, sf))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return op.archive_matches(lines.selectExpr("concat('arc ', o_orderpriority) AS archive", "sha2(CAST(l_orderkey AS STRING), 256) AS hash"), tree(spark, sf))
 
 
 def _in(values: tuple[str, ...]) -> str:
@@ -102,11 +101,11 @@ def parent_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EDGES = """edges AS (SELECT o_custkey AS src, 100000 + l_suppkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'RETURNS' ELSE 'ORDERS' END AS type, round(1 - l_discount, 2) AS confidence
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"""
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    lines, orders = table(spark, sf, "lineitem").where("l_linenumber = 1"), table(spark, sf, "orders")
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey AS src", "100000 + l_suppkey AS dst", "IF(l_returnflag = 'R', 'RETURNS', 'ORDERS') AS type", "round(1 - l_discount, 2) AS confidence")
 
 
@@ -115,9 +114,9 @@ def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return graph.canonical_edges(edges(spark, sf))
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT * FROM (SELECT src AS node, dst AS neighbour, type, confidence FROM edges UNION ALL SELECT dst, src, type, confidence FROM edges) x WHERE node <= 20")
+@query(f"WITH {_EDGES} SELECT DISTINCT * FROM (SELECT src AS node, dst AS neighbour, type, confidence FROM edges UNION ALL SELECT dst, src, type, confidence FROM edges) x WHERE node % 50 = 0 AND node < 100000")
 def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = table(spark, sf, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("node"))
+    nodes = table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
     return graph.neighbours(edges(spark, sf), nodes)
 
 
@@ -137,10 +136,13 @@ def graph_projection_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.capped_nodes(graph.canonical_edges(edges(spark, sf)), 500, 200)
 
 
-@query(f"""WITH {_EDGES}, n AS (SELECT DISTINCT src AS node FROM edges WHERE src <= 60), i AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM n)
+@query(f"""WITH {_EDGES}, p AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, type, max(confidence) AS confidence FROM edges GROUP BY 1, 2, 3), q AS (SELECT * FROM p ORDER BY confidence DESC, src, dst, type LIMIT 500),
+ n AS (SELECT src AS node FROM q UNION SELECT dst FROM q), i AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM n)
 SELECT node, round(400 + 240 * cos(2.0::DOUBLE * pi() * i / n), 3) AS x, round(300 + 240 * sin(2.0::DOUBLE * pi() * i / n), 3) AS y FROM i""")
 def circular_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.circle(edges(spark, sf).where("src <= 60").select(F.col("src").alias("node")))
+    """The nodes of a projection of at most 500 edges."""
+    shown = graph.projection(graph.canonical_edges(edges(spark, sf)), max_edges=500)
+    return graph.circle(shown.select(F.explode(F.array("src", "dst")).alias("node")))
 
 
 @query("""WITH RECURSIVE tree AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, NULL FROM region),
@@ -157,10 +159,10 @@ def universe_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.sha1(F.concat("source_root", F.char(F.lit(0)), "top_level")).alias("node_id"), "source_root", "top_level", "files", "bytes")
 
 
-@query(f"""WITH {ENTRIES}, {_EDGES}, t AS (SELECT src, dst, type, confidence FROM edges WHERE type LIKE 'ORD%' AND src <= 40)
+@query(f"""WITH {ENTRIES}, {_EDGES}, t AS (SELECT src, dst, type, confidence FROM edges WHERE type LIKE 'ORD%')
 SELECT src, dst, a.relative_path AS src_path, b.modified_at AS dst_mtime FROM (SELECT DISTINCT src, dst FROM t) x LEFT JOIN entries a ON a.entry_id = src LEFT JOIN entries b ON b.entry_id = dst - 100000 + 500""")
 def derivation_timeline(spark: SparkSession, sf: str) -> DataFrame:
     e = entries(spark, sf)
-    t = edges(spark, sf).where("type LIKE 'ORD%' AND src <= 40").select("src", "dst").distinct()
+    t = edges(spark, sf).where("type LIKE 'ORD%'").select("src", "dst").distinct()
     a, b = e.select(F.col("entry_id").alias("src"), F.col("relative_path").alias("src_path")), e.select((F.col("entry_id") + 99500).alias("dst"), F.col("modified_at").alias("dst_mtime"))
     return t.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "src_path", "dst_mtime").orderBy(F.asc_nulls_last("dst_mtime"), "src", "dst")

@@ -42,15 +42,28 @@ def carried_digests(spark: SparkSession, sf: str) -> DataFrame:
     return op.carried(op.diff(a, b), a.select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest")))
 
 
-@query(f"""WITH {SNAPSHOTS}, b2 AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'moved/' || path ELSE path END AS path, size, mtime, device, inode FROM snap_a),
- n AS (SELECT * FROM b2 WHERE path NOT IN (SELECT path FROM snap_a)), o AS (SELECT inode, size, min(path) AS old_path FROM snap_a WHERE path NOT IN (SELECT path FROM b2) GROUP BY 1, 2)
-SELECT n.path AS new_path, old_path FROM n JOIN o USING (inode, size)""")
+_DIGESTS = "CASE WHEN id % 4 = 0 THEN NULL ELSE 'q' || id % 1000 END AS quick, CASE WHEN id % 6 = 0 THEN NULL ELSE sha256(id::VARCHAR) END AS digest"
+
+
+@query(f"""WITH {SNAPSHOTS}, a1 AS (SELECT *, {_DIGESTS} FROM snap_a),
+ b1 AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'moved/' || path ELSE path END AS path, size, CASE WHEN id % 15 = 0 THEN 9 ELSE device END AS device, inode, quick, CASE WHEN id % 2 = 0 THEN NULL ELSE digest END AS digest FROM a1),
+ fresh AS (SELECT * FROM b1 WHERE path NOT IN (SELECT path FROM a1)), gone AS (SELECT * FROM a1 WHERE path NOT IN (SELECT path FROM b1)),
+ c AS (SELECT n.path AS new_path, (SELECT min(g.path) FROM gone g WHERE g.digest = n.digest) AS v, (SELECT min(g.path) FROM gone g WHERE g.quick = n.quick AND g.size = n.size) AS q,
+  (SELECT min(g.path) FROM gone g WHERE g.device = n.device AND g.inode = n.inode AND g.size = n.size) AS i FROM fresh n)
+SELECT new_path, coalesce(v, q, i) AS old_path, CASE WHEN v IS NOT NULL THEN 'VERIFIED_CONTENT' WHEN q IS NOT NULL THEN 'QUICK_HASH' ELSE 'SAME_DEVICE_INODE' END AS evidence FROM c WHERE coalesce(v, q, i) IS NOT NULL""")
 def moved_entries(spark: SparkSession, sf: str) -> DataFrame:
     a, _ = snapshots(spark, sf)
-    b = a.withColumn("path", F.when(F.col("id") % 5 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
+    a = a.withColumns({"quick": F.expr("IF(id % 4 = 0, NULL, concat('q', id % 1000))"), "digest": F.expr("IF(id % 6 = 0, NULL, sha2(CAST(id AS STRING), 256))")})
+    b = a.withColumns({"path": F.expr("IF(id % 5 = 0, concat('moved/', path), path)"), "device": F.expr("IF(id % 15 = 0, 9, device)"), "digest": F.expr("IF(id % 2 = 0, NULL, digest)")})
     return op.moves(op.diff(a, b), a, b)
 
 
+@query(_DIFF + ", h AS (SELECT o_orderkey AS change_id, (o_orderkey % 4000) || '/' || o_orderpriority AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING' ELSE 'NEW' END AS status, o_orderkey AS entry_id FROM orders), g AS (SELECT path, arg_max(entry_id, change_id) AS previous_id FROM h WHERE status = 'MISSING' GROUP BY 1) SELECT d.path, previous_id FROM d JOIN g ON g.path = d.path WHERE d.status = 'NEW'")
+def reappeared_entries(spark: SparkSession, sf: str) -> DataFrame:
+    history = table(spark, sf, "orders").selectExpr("o_orderkey AS change_id", "concat(o_orderkey % 4000, '/', o_orderpriority) AS path", "IF(o_orderkey % 3 = 0, 'MISSING', 'NEW') AS status", "o_orderkey AS entry_id")
+    return op.reappeared(op.diff(*snapshots(spark, sf)), history)
+
+
 @query(_DIFF + ", s AS (SELECT o_orderkey AS decision_id, o_orderkey || '/' || o_orderpriority AS path FROM orders WHERE o_orderkey % 3 = 0) SELECT decision_id, path FROM s WHERE path IN (SELECT path FROM d WHERE status IN ('MISSING', 'CONTENT_POSSIBLY_CHANGED'))")
 def stale_decisions(spark: SparkSession, sf: str) -> DataFrame:
     decisions = table(spark, sf, "orders").where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS decision_id", "concat(o_orderkey, '/', o_orderpriority) AS path")
@@ -70,10 +83,9 @@ def _sessions_sql(gap: int, by: str = "") -> str:
 SELECT * FROM s WHERE members >= 2"""
 
 
-@query(_sessions_sql(600))
+@query(_sessions_sql(5400))
 def photo_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaps of ten minutes fit these events; the photo default is 90 minutes."""
-    return op.sessions(table(spark, sf, "events"), 600)
+    return op.sessions(table(spark, sf, "events"), 5400)
 
 
 @query(_sessions_sql(28800, "user_id"))

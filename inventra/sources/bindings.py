@@ -23,10 +23,10 @@ _NAME = f"""CASE doc_id % 29 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'package.j
  ELSE concat('doc_', DIV(doc_id, 4), {_VARIANT}, {_SUFFIX}) END"""
 _DIR = f"concat(coalesce(lang, 'xx'), '/b', DIV(doc_id, 4) % 10, {_SEGMENT})"
 _ENTRIES = f"""SELECT entry_id, source_root, concat(dir, '/', name) AS relative_path, dir, name, lower(regexp_extract(name, '([.][^.]*)$', 1)) AS suffix, 'file' AS entry_type,
- size_bytes, modified_at, full_hash, scan_status, analysis_failed, inode FROM (
+ size_bytes, modified_at, full_hash, scan_status, analysis_failed, device, inode, nlink FROM (
  SELECT doc_id AS entry_id, source AS source_root, {_DIR} AS dir, {_NAME} AS name, CAST(BYTES(text) AS BIGINT) AS size_bytes,
  CAST(1400000000 + doc_id % 1000 * 300000 AS DOUBLE) AS modified_at, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE SHA(text) END AS full_hash,
- CASE WHEN doc_id % 97 = 0 THEN 'ERROR' ELSE 'OK' END AS scan_status, doc_id % 89 = 0 AS analysis_failed, doc_id - doc_id % 3 AS inode FROM documents) x"""
+ CASE WHEN doc_id % 97 = 0 THEN 'ERROR' ELSE 'OK' END AS scan_status, doc_id % 89 = 0 AS analysis_failed, CASE WHEN doc_id % 50 = 0 THEN NULL ELSE DIV(doc_id, 600) END AS device, (doc_id - doc_id % 3) % 600 AS inode, CASE WHEN doc_id % 41 = 0 THEN 1 ELSE 3 END AS nlink FROM documents) x"""
 
 
 def render(sql: str, engine: str) -> str:
@@ -44,9 +44,9 @@ CHUNKS = """chunks AS (SELECT doc_id, seq, sha256(line) AS chunk_hash, strlen(li
  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents) WHERE line <> '')"""
 TREE = """tree AS (SELECT s || '/' || o_orderpriority AS dir, sha256(o_orderkey::VARCHAR) AS hash, o_orderkey FROM orders, (VALUES ('A'), ('B')) v(s)
  WHERE (s = 'A' AND o_orderkey % 10 <> 0) OR (s = 'B' AND o_orderkey % 11 <> 0))"""
-SNAPSHOTS = """snap_a AS (SELECT o_orderkey AS id, o_orderkey::VARCHAR || '/' || o_orderpriority AS path, o_totalprice AS size, o_orderdate AS mtime, 1 AS device, o_custkey AS inode FROM orders WHERE o_orderkey % 10 <> 0),
+SNAPSHOTS = """snap_a AS (SELECT o_orderkey AS id, o_orderkey::VARCHAR || '/' || o_orderpriority AS path, o_totalprice AS size, o_orderdate AS mtime, (o_orderkey % 3)::INT AS device, o_custkey AS inode FROM orders WHERE o_orderkey % 10 <> 0),
 snap_b AS (SELECT o_orderkey AS id, o_orderkey::VARCHAR || '/' || o_orderpriority AS path, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS size, o_orderdate AS mtime,
- CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 1 END AS device, o_custkey AS inode FROM orders WHERE o_orderkey % 11 <> 0)"""
+ CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey % 3)::INT END AS device, o_custkey AS inode FROM orders WHERE o_orderkey % 11 <> 0)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(id, path, size, mtime, device, inode) of two scans of one source."""
     orders = table(spark, sf_dir, "orders")
     path = "concat(o_orderkey, '/', o_orderpriority) AS path"
-    a = orders.where("o_orderkey % 10 <> 0").selectExpr("o_orderkey AS id", path, "o_totalprice AS size", "o_orderdate AS mtime", "1 AS device", "o_custkey AS inode")
-    b = orders.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey AS id", path, "IF(o_orderkey % 7 = 0, o_totalprice + 1, o_totalprice) AS size", "o_orderdate AS mtime", "IF(o_orderkey % 13 = 0, NULL, 1) AS device", "o_custkey AS inode")
+    a = orders.where("o_orderkey % 10 <> 0").selectExpr("o_orderkey AS id", path, "o_totalprice AS size", "o_orderdate AS mtime", "CAST(o_orderkey % 3 AS INT) AS device", "o_custkey AS inode")
+    b = orders.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey AS id", path, "IF(o_orderkey % 7 = 0, o_totalprice + 1, o_totalprice) AS size", "o_orderdate AS mtime", "IF(o_orderkey % 13 = 0, NULL, CAST(o_orderkey % 3 AS INT)) AS device", "o_custkey AS inode")
     return a, b
 
 

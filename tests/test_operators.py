@@ -25,10 +25,67 @@ def test_containment_of_small_sets(spark):
     assert [(r.a, r.b, r.shared, r.containment) for r in found.collect()] == [(1, 2, 1, 0.5)]
 
 
-def test_overlap_cap_drops_common_items_only_as_seeds(spark):
-    df = spark.createDataFrame([(g, i) for g in range(5) for i in ("common", f"own{g // 2}")], "g int, i string")
-    found = directories.set_overlap(df, "g", "i", most_groups=2, containment=0.0)
-    assert {(r.a, r.b): r.shared for r in found.collect()} == {(0, 1): 2, (2, 3): 2}
+@pytest.mark.parametrize("containment", [0.3, 0.5, 0.85, 1.0])
+def test_overlap_is_that_of_a_brute_force_join(spark, containment):
+    """Items that all groups hold, groups within others, and copies, which are linked to the first of them only."""
+    rng = random.Random(5)
+    sets = {}
+    for g in range(120):
+        own = {f"i{rng.randrange(60)}" for _ in range(rng.randrange(1, 12))} | ({"common"} if g % 3 else set())
+        sets[g] = set(sets[rng.randrange(g)]) | ({f"x{g}"} if g % 4 else set()) if g > 20 and g % 2 else own
+    first = {g: min(h for h in sets if sets[h] == sets[g]) for g in sets}
+    want = {(first[g], g): len(sets[g]) for g in sets if first[g] != g}
+    reps = sorted(set(first.values()))
+    want |= {(a, b): len(sets[a] & sets[b]) for a in reps for b in reps if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= containment * min(len(sets[a]), len(sets[b])) - 1e-12}
+    df = spark.createDataFrame([(g, i) for g, own in sets.items() for i in own], "g int, i string")
+    found = directories.set_overlap(df, "g", "i", containment=containment)
+    assert {(r.a, r.b): r.shared for r in found.collect()} == want
+
+
+def test_chunk_overlap_is_that_of_a_brute_force_join(spark):
+    """Lines in hundreds of objects and hundreds of copies lose no pair."""
+    rng = random.Random(6)
+    size = {f"c{k}": 10 + 7 * k for k in range(40)}
+    sets = {d: frozenset(rng.sample(sorted(size), rng.randrange(1, 9))) for d in range(80)} | {d: frozenset(["c1", "c2", "c30"]) for d in range(80, 400)}
+    first = {}
+    for d, own in sets.items():
+        first.setdefault(own, d)
+    want = {}
+    for x, a in first.items():
+        for y, b in first.items():
+            shared = sum(size[c] for c in x & y)
+            if a < b and shared >= 150:
+                want[a, b] = shared
+    df = spark.createDataFrame([(d, c, size[c]) for d, own in sets.items() for c in own for _ in range(2)], "doc_id int, chunk_hash string, size_bytes long")
+    assert {(r.a, r.b): r.shared_bytes for r in chunks.overlaps(df, minimum_bytes=150).collect()} == want
+    assert {r.doc_id: r.rep for r in chunks.classes(df).collect()} == {d: first[own] for d, own in sets.items()}
+
+
+def test_whole_texts_are_normalised_and_folded(spark):
+    import unicodedata
+
+    long = "Straße ﬁn Ⅳ İ é " * 9000
+    df = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in inventory.normalised(df).collect()}
+    assert got[1].digest != got[2].digest and got[1].characters == len(long) + 1
+    folded = [unicodedata.normalize("NFKC", x).casefold() for x in (long, "A")]
+    import pandas as pd
+
+    assert files.folded(pd.Series([long, "A", None])).tolist()[:2] == folded
+
+
+def test_versions_of_a_hot_stem_are_linked_to_the_first(spark):
+    df = spark.createDataFrame([(i, f"README_v{i}.md", f"h{i}") for i in range(40)] + [(100 + i, f"note v{i}.txt", f"n{i % 3}") for i in range(5)], "entry_id int, name string, full_hash string")
+    got = {(r.stem, r.a, r.b) for r in versions.pairs(df).collect()}
+    assert got == {("readme", 0, i) for i in range(1, 40)} | {("note", 100, 101), ("note", 100, 102), ("note", 101, 102)}
+    assert {(r.a, r.b) for r in versions.name_similarity(df).collect()} == {(0, i) for i in range(1, 40)} | {(a, b) for a in range(100, 105) for b in range(a + 1, 105)}
+
+
+def test_hard_links_need_device_inode_and_further_links(spark):
+    rows_ = [(1, 1, 7, 2, None), (2, 1, 7, 2, "d"), (3, 2, 7, 2, "e"), (4, 1, 8, 1, "f"), (5, 1, 8, 1, "g"), (6, None, 9, 2, "h"), (7, None, 9, 2, "i")]
+    df = spark.createDataFrame([(i, dev, ino, n, h, 5) for i, dev, ino, n, h in rows_], "entry_id int, device int, inode int, nlink int, full_hash string, size_bytes long")
+    got = {r.entry_id: (r.hashed_entry, r.digest) for r in duplicates.representatives(df).collect()}
+    assert got == {1: (2, "d"), 2: (2, "d"), 3: (3, "e"), 4: (4, "f"), 5: (5, "g"), 6: (6, "h"), 7: (7, "i")}
 
 
 def test_near_duplicates(spark):
@@ -38,7 +95,7 @@ def test_near_duplicates(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edit)), (3, " ".join(other)), (4, "too short"), (5, None), (6, " ".join(base))], "doc_id long, text string")
     found = {(r.a, r.b): (r.type, r.confidence) for r in similarity.near_duplicates(df).collect()}
     assert found[(1, 6)] == ("NEAR_DUPLICATE_DOCUMENT", 1.0)
-    assert set(found) == {(1, 2), (1, 6), (2, 6)}
+    assert set(found) == {(1, 2), (1, 6)}
     exact = similarity.jaccard_pairs(similarity.shingles(df), 0.8)
     estimated = similarity.lsh_pairs(similarity.minhash(df))
     assert {(r.a, r.b) for r in estimated.collect()} <= {(r.a, r.b) for r in exact.collect()} | {(1, 2), (2, 6)}
@@ -111,7 +168,10 @@ def test_gear_cuts_equal_the_plain_definition():
             start, value = i + 1, 0
     if start < len(data):
         cuts.append((start, len(data)))
-    assert list(chunks.cut_points(data, 128, 512, 2048, gear)) == cuts
+    import numpy as np
+
+    assert list(chunks.cut_points(data, 128, 512, 2048, np.array(gear, np.uint64))) == cuts
+    assert list(chunks.cut_points(b"", 128, 512, 2048, np.array(gear, np.uint64))) == []
 
 
 def test_descriptor_pairs_are_complete(spark):
@@ -145,12 +205,14 @@ def test_components(spark, edges):
 
 
 def test_diff_and_moves(spark):
-    schema = "id int, path string, size int, mtime int, device int, inode int"
-    a = spark.createDataFrame([(1, "same", 1, 1, 1, 1), (2, "edit", 1, 1, 1, 2), (3, "gone", 1, 1, 1, 3), (4, "meta", 1, 1, None, 4), (5, "null", None, 1, None, 5), (6, "old", 7, 1, 1, 66)], schema)
-    b = spark.createDataFrame([(1, "same", 1, 1, 1, 1), (2, "edit", 2, 1, 1, 2), (7, "fresh", 1, 1, 1, 7), (4, "meta", 1, 1, 9, 4), (5, "null", None, 1, None, 5), (8, "new", 7, 1, 1, 66)], schema)
+    schema = "id int, path string, size int, mtime int, device int, inode int, quick string, digest string"
+    a = spark.createDataFrame([(1, "same", 1, 1, 1, 1, None, None), (2, "edit", 1, 1, 1, 2, None, None), (3, "gone", 1, 1, 1, 3, None, None), (4, "meta", 1, 1, None, 4, None, None), (5, "null", None, 1, None, 5, None, None), (6, "old", 7, 1, 1, 66, None, None), (10, "old2", 7, 1, 1, 70, "q10", "d10"), (11, "old3", 8, 1, 1, 71, "q11", None)], schema)
+    b = spark.createDataFrame([(1, "same", 1, 1, 1, 1, None, None), (2, "edit", 2, 1, 1, 2, None, None), (7, "fresh", 1, 1, 1, 7, None, None), (4, "meta", 1, 1, 9, 4, None, None), (5, "null", None, 1, None, 5, None, None), (8, "new", 7, 1, 1, 66, None, None), (9, "other device", 7, 1, 2, 66, None, None), (12, "new2", 7, 1, 2, 70, "q10", "d10"), (13, "new3", 8, 1, 1, 66, "q11", "d13")], schema)
     d = timeline.diff(a, b)
-    assert {r.path: r.status for r in d.collect()} == {"same": "UNCHANGED", "edit": "CONTENT_POSSIBLY_CHANGED", "gone": "MISSING", "meta": "METADATA_CHANGED", "null": "UNCHANGED", "fresh": "NEW", "old": "MISSING", "new": "NEW"}
-    assert rows(timeline.moves(d, a, b)) == [("new", "old")]
+    assert {r.path: r.status for r in d.collect()} == {"same": "UNCHANGED", "edit": "CONTENT_POSSIBLY_CHANGED", "gone": "MISSING", "meta": "METADATA_CHANGED", "null": "UNCHANGED", "fresh": "NEW", "old": "MISSING", "new": "NEW", "old2": "MISSING", "old3": "MISSING", "other device": "NEW", "new2": "NEW", "new3": "NEW"}
+    assert rows(timeline.moves(d, a, b)) == [("new", "old", "SAME_DEVICE_INODE"), ("new2", "old2", "VERIFIED_CONTENT"), ("new3", "old3", "QUICK_HASH")]
+    history = spark.createDataFrame([(1, "fresh", "MISSING", 50), (2, "fresh", "MISSING", 60), (3, "fresh", "NEW", 70), (4, "gone", "MISSING", 3)], "change_id int, path string, status string, entry_id int")
+    assert rows(timeline.reappeared(d, history)) == [("fresh", 60)]
 
 
 @pytest.mark.parametrize("by", [None, "k"])
