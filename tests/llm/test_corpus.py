@@ -273,6 +273,26 @@ def test_dedup_finds_near_copies_of_a_brute_force_join(spark):
     assert sum(b not in kept for _, b in pairs) >= 0.95 * len(pairs)
 
 
+def test_dedup_of_the_documents_by_five_word_similarity(spark):
+    """Distinct texts of sf0.1 with the similarity 0.8 or more by brute force are in one group, and every group hangs together by pairs of 0.5 or more."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {}
+    for r in rows.orderBy("doc_id").collect():
+        texts.setdefault(r.text, r.doc_id)
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t, d in texts.items() if (w := (t or "").lower().split())}
+    holders = collections.defaultdict(list)
+    for d, own in sets.items():
+        for x in own:
+            holders[x].append(d)
+    shared = collections.Counter((a, b) for own in holders.values() if len(own) < 200 for i, b in enumerate(own) for a in own[:i])
+    sim = {(min(p), max(p)): n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    kept = {r.doc_id for r in simhash_dedup.dedup(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"))).select("doc_id").collect()}
+    pairs = [p for p, j in sim.items() if j >= 0.8]
+    gone = set(sets) - kept
+    assert pairs and sum(b in gone or a in gone for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(any(sim.get((min(d, e), max(d, e)), 0) >= 0.5 for e in sets if e != d) for d in gone)
+
+
 @pytest.mark.parametrize("small", [0, 10**9])
 def test_dedup_links_all_within_the_radius_in_any_view(spark, monkeypatch, small):
     monkeypatch.setattr(simhash_dedup, "SMALL_POINTS", small)
@@ -281,7 +301,7 @@ def test_dedup_links_all_within_the_radius_in_any_view(spark, monkeypatch, small
     fps = [[simhash_dedup.fingerprint(simhash_dedup._remixed(simhash_dedup.shingle_hashes(t.encode(), 2, 42), v)) for v in range(6)] for t in texts]
     root = list(range(len(texts)))
     for _ in range(len(texts)):
-        new = [min(root[j] for j in range(len(texts)) if any((x ^ y).bit_count() <= 4 for x, y in zip(fps[i], fps[j], strict=True))) for i in range(len(texts))]
+        new = [min(root[j] for j in range(len(texts)) if any((x ^ y).bit_count() <= 4 for x, y in zip(fps[i], fps[j], strict=True)) and sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) <= 53) for i in range(len(texts))]
         if new == root:
             break
         root = new
