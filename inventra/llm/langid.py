@@ -10,7 +10,7 @@ Forward-backward over a batch is exact and vectorised: all words of the batch ar
 document; it is cut into equal pieces, whose transfer matrices are multiplied step by step side by side and then joined.
 
 Every language that labels a document is learned, from a bounded sample of whole documents: PER_LANG of a language, or SAMPLE_DOCS shared evenly
-where there are many languages, of MAX_CHARS characters at most. The sample is found in one pass, whatever the number of languages, and read in a second.
+where there are many languages, of MAX_CHARS characters at most. One pass counts the distinct rows of a language by powers of two of a hash, a second reads those of the smallest hashes, about 2 to 4 times the sample.
 Defined cases: null text or a text without letters (\\p{L}) is `und` with score 0; without labelled languages every text is
 `und`; repeated rows give repeated results; other columns are ignored.
 """
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, staged
+from .common import broadcast_if, crc_mod, staged
 
 PER_LANG = 400
 #: Documents that are sampled of all languages together, but one of each at least.
 SAMPLE_DOCS = 12_800
 MAX_CHARS = 10_000
+#: Languages up to which the table of their cuts, one short row each, is broadcast.
+MAX_BROADCAST = 100_000
 HELD_OUT = (3, (1,))
 BITS = 16
 ORDERS = (2, 3, 4, 5)
@@ -245,24 +247,31 @@ def train(texts: Sequence[tuple[str, str]], seed: int = 7) -> Model:
     return model._replace(table=table.astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """(text, language): of each language the distinct rows of the smallest hashes, as many as its quota."""
     n, out = HELD_OUT
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").rlike("\\p{L}") & ~crc_mod(F.col("_id"), n).isin(*out))
     rows = rows.where(F.length("_text") <= MAX_CHARS)
-    order = F.xxhash64("_id", F.lit("lang"))
-    # the smallest hashes of each language: Spark limits every task's part of a language before the shuffle
-    first = W.partitionBy("_lang").orderBy("_order", "_id")
-    ids = rows.select("_id", "_lang", order.alias("_order")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= PER_LANG)
-    ids = staged(ids.select("_id", "_lang", "_rank").distinct(), "sample")
-    langs = ids.select("_lang").distinct().count()
+    # the text is part of the order, so rows without an id are spread like others; level l holds 1 in 2^(l+1) of all rows
+    rows = rows.withColumn("_order", F.shiftrightunsigned(F.xxhash64("_id", "_lang", "_text"), 1)).withColumn("_level", 63 - F.length(F.bin("_order")))
+    counts = staged(rows.groupBy("_lang", "_level").agg(F.approx_count_distinct("_order").alias("n")), "levels")
+    langs = counts.select("_lang").distinct().count()
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros((0, 0)))
-    # SAMPLE_DOCS ids at most, or one of each language
-    ids = ids.where(F.col("_rank") <= max(1, min(PER_LANG, SAMPLE_DOCS // langs))).select("_id", F.col("_lang").alias("_l")).distinct()
-    found = rows.join(F.broadcast(ids), (F.col("_lang") == F.col("_l")) & rows["_id"].eqNullSafe(ids["_id"])).select(rows["_id"], "_lang", "_text", F.xxhash64(rows["_id"], F.lit("lang")).alias("_order")).distinct().collect()
+        return []
+    quota = max(1, min(PER_LANG, SAMPLE_DOCS // langs))
+    # the highest level from which on a language has twice its quota; few rows pass, however large the table or the number of its tasks
+    above = F.sum("n").over(W.partitionBy("_lang").orderBy(F.desc("_level")))
+    cuts = counts.withColumn("_above", above).groupBy("_lang").agg(F.coalesce(F.max(F.when(F.col("_above") >= 2 * quota, F.col("_level"))), F.lit(0)).alias("_cut"))
+    near = rows.join(broadcast_if(cuts, langs, MAX_BROADCAST), "_lang").where("_level >= _cut").select("_id", "_lang", "_text", "_order").distinct()
+    first = W.partitionBy("_lang").orderBy("_order", "_id", "_text")
+    found = near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= quota).collect()
     found.sort(key=lambda r: (r["_order"], r["_id"] is None, r["_id"], r["_lang"], r["_text"]))
-    return train([(r["_text"], r["_lang"]) for r in found])
+    return [(r["_text"], r["_lang"]) for r in found]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    return train(sample(docs, id_col, text_col, lang_col))
 
 
 def label_texts(texts: Sequence[str | None], model: Model) -> tuple[list[str], np.ndarray]:

@@ -570,6 +570,21 @@ def test_posteriors_are_those_of_all_labelings():
     assert np.allclose(got, want / total, atol=1e-6)
 
 
+def test_language_sample_has_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANG", 50)
+    rows = [(i, f"text {i}", "en") for i in range(6000)] + [(None, f"none {i}", "de") for i in range(3000)] + [(7, "again and again", "fr")] * 5000 + [(i, f"mot {i}", "fr") for i in range(90_000, 90_030)]
+    rows += [(1, "1 2 3", "xx"), (2, None, "yy"), (3, "text", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    got = langid.sample(df)
+    seen = {lang: [t for t, own in got if own == lang] for lang in ("en", "de", "fr")}
+    assert len(got) == sum(map(len, seen.values())) and len(set(got)) == len(got)
+    fit = {r["doc_id"] for r in df.where(~langid.crc_mod(langid.F.col("doc_id"), 3).isin(1)).select("doc_id").distinct().collect()}
+    assert len(seen["en"]) == len(seen["de"]) == 50
+    assert set(seen["fr"]) == {t for i, t, lang in rows if lang == "fr" and i in fit}
+    hashed = df.where("lang = 'de'").distinct().orderBy(langid.F.shiftrightunsigned(langid.F.xxhash64("doc_id", "lang", "text"), 1)).limit(50).collect()
+    assert {r["text"] for r in hashed} == set(seen["de"])
+
+
 def test_language_learns_every_language_in_few_scans(spark):
     """66 languages, one of them with most rows; every one can be predicted, and digits or fractions alone are no text."""
     rng = random.Random(4)
