@@ -70,6 +70,55 @@ def components(edges: DataFrame) -> DataFrame:
     return named if named is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: Which typed edges each kind of projection shows, and the kinds that show active content relationships only.
+PROJECTIONS = {
+    "universe": "true",
+    "duplicate": "relationship_type IN ('EXACT_DUPLICATE_MEMBER', 'DUPLICATE_CONTENT')",
+    "content": "source_type = 'CONTENT_OBJECT' OR target_type = 'CONTENT_OBJECT'",
+    "backup-lineage": "relationship_type LIKE '%BACKUP%'",
+    "project": "relationship_type LIKE '%PROJECT%'",
+    "document-family": "relationship_type LIKE '%DOCUMENT%'",
+    "image-cluster": "relationship_type LIKE '%IMAGE%'",
+    "selected-directory": "true",
+    "content-equivalence": "evidence_tier IN ('TIER_1_EXACT', 'TIER_2_NORMALIZED_EXACT', 'TIER_3_STRONG_EQUIVALENCE')",
+    "partial-overlap": "evidence_tier = 'TIER_4_PARTIAL_OVERLAP'",
+    "derivation-family": "relationship_type IN ('LIKELY_EXPORT', 'LIKELY_RENDERING', 'LIKELY_DERIVED', 'LIKELY_VERSION', 'LIKELY_COPY')",
+}
+ACTIVE_ONLY = ("content-equivalence", "partial-overlap", "derivation-family")
+
+
+def typed_projections(edges: DataFrame, kinds: tuple[str, ...] = tuple(PROJECTIONS), floor: float = 0.0, max_edges: int = 1000) -> DataFrame:
+    """(kind, rank, and the edge) of the most confident typed edges of each kind, ties by id and ends. All kinds come from one pass; every task keeps max_edges of a kind at most."""
+    from pyspark.sql import Window as W
+
+    shown = [F.when(F.expr(f"({PROJECTIONS[k]})" + (" AND status = 'ACTIVE'" if k in ACTIVE_ONLY else "")), F.lit(k)) for k in kinds]
+    each = edges.where(F.col("confidence") >= floor).select(F.explode(F.array_compact(F.array(*shown))).alias("kind"), "*")
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("confidence"), "id", "source_id", "target_id"))).where(F.col("rank") <= max_edges)
+
+
+def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Typed edges whose two ends are among the nodes (type, id); an edge to a retired end is history."""
+    known = nodes.select("type", "id").distinct()
+    for end in ("source", "target"):
+        edges = edges.join(known.select(F.col("type").alias(f"{end}_type"), F.col("id").alias(f"{end}_id")), [f"{end}_type", f"{end}_id"], "left_semi")
+    return edges
+
+
+def upsert(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Typed edges after new ones are put in: of equal ends, type and version the new one's confidence counts and the old id stays. Of several new ones
+    with one key the greatest id counts, then the greatest confidence. Confidences outside 0 to 1 are an error."""
+    key = ["source_type", "source_id", "target_type", "target_id", "relationship_type", "version"]
+    valid = F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(F.raise_error(F.lit("confidence must be between 0 and 1")))
+    both = edges.select(*key, "id", "confidence", F.lit(0).alias("_new")).unionByName(new.select(*key, "id", valid.alias("confidence"), F.lit(1).alias("_new")))
+    order = F.struct("_new", "id")
+    return both.groupBy(*key).agg(F.min_by("id", order).alias("id"), F.max_by("confidence", F.struct("_new", "id", "confidence")).alias("confidence"))
+
+
+def labels(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(type, id, label) of nodes (type, id): the name, or type and id where there is none."""
+    return nodes.select("type", "id").distinct().join(names.select("type", "id", "name"), ["type", "id"], "left").select("type", "id", F.coalesce("name", F.concat_ws(" ", "type", "id")).alias("label"))
+
+
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Undirected edges (src, dst, type, confidence) once each, smaller end first, with the best confidence."""
     e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "type", "confidence")

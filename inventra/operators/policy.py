@@ -194,14 +194,15 @@ def predict(frame: DataFrame, weights: Sequence[float], bias: float, decided: Da
     return frame.join(decided, "entry_id", "left_anti").select("entry_id", p.alias("probability"), F.when(p >= 0.5, "APPROVE_FOR_REVIEW").otherwise("KEEP").alias("suggestion")).orderBy("entry_id").limit(limit)
 
 
-def train(frame: DataFrame, label: str, steps: int = 800, rate: float = 0.1, ridge: float = 0.01) -> tuple[list[float], float, dict[str, float]]:
+def train(frame: DataFrame, label: str, steps: int = 800, rate: float = 0.1, ridge: float = 0.01, most: int = 200_000) -> tuple[list[float], float, dict[str, float]]:
     """Logistic regression by gradient descent on standardised features (population deviation, 0 taken as 1), ridge on weights only.
 
-    Training examples are aggregated by their distinct feature vectors, which are few as most features are flags."""
+    Examples are aggregated by their distinct feature vectors. Of more than `most` vectors, those of the smallest hashes are learned from, with all their examples,
+    so what is gathered is bounded."""
     import numpy as np
 
     names = [c for c in frame.columns if c.startswith("f")]
-    rows = frame.groupBy(*names, label).count().collect()
+    rows = frame.groupBy(*names, label).count().orderBy(F.xxhash64(*names, label), *names, label).limit(most).collect()
     x = np.array([[r[n] for n in names] for r in rows], float)
     y = np.array([r[label] for r in rows], float)
     n = np.array([r["count"] for r in rows], float)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inventra.plans import identity, inventory, review, similar, structure, timeline  # noqa: F401
+from inventra.plans import identity, inventory, reports, review, similar, structure, timeline  # noqa: F401
 from inventra.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -86,14 +86,15 @@ def chunk_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BITS = """m AS (SELECT vec_id, embedding, list_sort([x::DOUBLE FOR x IN embedding[2:64]])[32] AS m FROM embeddings),
- d AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > m THEN 1 ELSE 0 END) AS v FROM m)"""
+ own AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > m THEN 1 ELSE 0 END) AS v FROM m),
+ d AS (SELECT * FROM own UNION ALL SELECT vec_id + 10000000, list_transform(range(1, 65), lambda i: CASE WHEN i > vec_id % 50 AND i <= vec_id % 50 + vec_id % 11 THEN 1 - v[i] ELSE v[i] END) FROM own)"""
 _DIST = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.v[i] <> y.v[i] THEN 1 ELSE 0 END))::INT"
 
 
-@query(f"WITH {_BITS} SELECT vec_id, list_sum(v)::INT AS ones, array_to_string(v[1:16], '') AS low16 FROM d")
+@query(f"WITH {_BITS} SELECT vec_id, list_sum(v)::INT AS ones, array_to_string(v, '') AS bits FROM d")
 def descriptor_bits(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.expr("array_join(transform(sequence(0, 15), i -> cast(shiftright(bits, i) & 1 as string)), '')")
-    return descriptors(spark, sf).select("vec_id", F.bit_count("bits").alias("ones"), low.alias("low16"))
+    text = F.expr("array_join(transform(sequence(0, 63), i -> cast(shiftright(bits, i) & 1 as string)), '')")
+    return descriptors(spark, sf).select("vec_id", F.bit_count("bits").alias("ones"), text.alias("bits"))
 
 
 @query(f"WITH {_BITS} SELECT vec_id, b::INT AS band, list_sum(list_transform(range(0, 64 * (b + 1) // 9 - 64 * b // 9), lambda k: v[64 * b // 9 + k + 1] * (1 << k)))::BIGINT AS value FROM d, range(9) t(b)")
@@ -101,24 +102,24 @@ def descriptor_bands(spark: SparkSession, sf: str) -> DataFrame:
     return de.band_index(descriptors(spark, sf), 8)
 
 
-@query(f"WITH {_BITS} SELECT x.vec_id AS a, y.vec_id AS b, {_DIST} AS distance, 1 - {_DIST} / 64::DOUBLE AS confidence FROM d x JOIN d y ON x.vec_id < y.vec_id WHERE {_DIST} <= 20")
+@query(f"WITH {_BITS} SELECT x.vec_id AS a, y.vec_id AS b, {_DIST} AS distance, 1 - {_DIST} / 64::DOUBLE AS confidence FROM d x JOIN d y ON x.vec_id < y.vec_id WHERE {_DIST} <= 8")
 def descriptor_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return de.pairs(descriptors(spark, sf), 20)
+    return de.pairs(descriptors(spark, sf), 8)
 
 
-_CLUSTERS = f"""WITH RECURSIVE {_BITS}, p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM d x JOIN d y ON x.vec_id < y.vec_id WHERE {_DIST} <= 20), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+_CLUSTERS = f"""WITH RECURSIVE {_BITS}, p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM d x JOIN d y ON x.vec_id < y.vec_id WHERE {_DIST} <= 8), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
  r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), c AS (SELECT node AS vec_id, min(root) AS cluster FROM r GROUP BY 1),
  k AS (SELECT vec_id, cluster, count(*) OVER (PARTITION BY cluster) AS members FROM c)"""
 
 
 @query(_CLUSTERS + " SELECT * FROM k")
 def descriptor_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return de.clusters(descriptors(spark, sf), 20)
+    return de.clusters(descriptors(spark, sf), 8)
 
 
 @query(_CLUSTERS + " SELECT cluster, vec_id, (row_number() OVER (PARTITION BY cluster ORDER BY vec_id) - 1)::INT AS cell, members > 9 AS truncated FROM k QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY vec_id) <= 9")
 def contact_sheets(spark: SparkSession, sf: str) -> DataFrame:
-    return de.contact_sheets(de.clusters(descriptors(spark, sf), 20), 9)
+    return de.contact_sheets(de.clusters(descriptors(spark, sf), 8), 9)
 
 
 _VP = r"(?:[_ -]*(?:final|draft|revised|copy|backup|v\d+|\(\d+\)))+"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seconds since 1970 that age rules measure from; a parameter of every operator that needs it.
 NOW = 1_720_000_000.0
@@ -37,7 +38,14 @@ def render(sql: str, engine: str) -> str:
     return sql.replace("SHA(text)", "sha2(text, 256)" if spark else "sha256(text)")
 
 
+_KINDS = ("EXACT_DUPLICATE_MEMBER", "DUPLICATE_CONTENT", "BACKUP_OF", "IN_PROJECT", "DOCUMENT_VERSION", "IMAGE_SIMILAR", "LIKELY_EXPORT", "LIKELY_COPY", "RELATED")
+_TIERS = ("TIER_1_EXACT", "TIER_2_NORMALIZED_EXACT", "TIER_3_STRONG_EQUIVALENCE", "TIER_4_PARTIAL_OVERLAP", "TIER_5_WEAK")
+_RELATIONS = f"""SELECT l_orderkey * 10 + l_linenumber AS id, {_pick(("ENTRY", "DIRECTORY", "CONTENT_OBJECT"), "l_linenumber % 3")} AS source_type, l_partkey AS source_id,
+ {_pick(("PROJECT", "DUPLICATE_GROUP", "CONTENT_OBJECT", "ENTRY"), "l_suppkey % 4")} AS target_type, l_suppkey AS target_id, {_pick(_KINDS, "l_orderkey % 9")} AS relationship_type,
+ {_pick(_TIERS, "l_orderkey % 5")} AS evidence_tier, CAST(1 AS INT) AS version, round(1 - l_discount, 2) AS confidence, CASE WHEN l_returnflag = 'R' THEN 'STALE' ELSE 'ACTIVE' END AS status FROM lineitem"""
+
 #: WITH clauses for the oracles.
+RELATIONS = "rel AS (" + render(_RELATIONS, "duckdb") + ")"
 ENTRIES = "entries AS (" + render(_ENTRIES, "duckdb") + ")"
 CONTENT = "content AS (SELECT full_hash, size_bytes, count(*) AS n, min(entry_id) AS first_id FROM entries WHERE full_hash IS NOT NULL GROUP BY full_hash, size_bytes)"
 CHUNKS = """chunks AS (SELECT doc_id, seq, sha256(line) AS chunk_hash, strlen(line)::BIGINT AS size_bytes FROM (
@@ -85,8 +93,16 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed edges of the inventory, one for each line item."""
+    return spark.sql(render(_RELATIONS.replace("FROM lineitem", "FROM {lineitem}"), "spark"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, bits): bit i is set where a value is above the median of all but the first."""
+    """(vec_id, bits): bit i is set where a value is above the median of all but the first; and each descriptor once more, of a rescan, with a run of up to ten
+    bits turned."""
     from inventra.functions.bits import median_bits
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", median_bits("embedding").alias("bits"))
+    first = table(spark, sf_dir, "embeddings").select("vec_id", median_bits("embedding").alias("bits"))
+    turned = F.expr("bits ^ shiftleft(shiftleft(1L, CAST(vec_id % 11 AS INT)) - 1L, CAST(vec_id % 50 AS INT))")
+    return first.select(F.explode(F.array(F.struct("vec_id", "bits"), F.struct((F.col("vec_id") + 10_000_000).alias("vec_id"), turned.alias("bits")))).alias("d")).select("d.*")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inventra.functions import formats, paths
-from inventra.operators import chunks, descriptors, directories, duplicates, graph, inventory, similarity, timeline, versions
+from inventra.operators import chunks, descriptors, directories, duplicates, graph, inventory, reports, similarity, timeline, versions
 from inventra.sources import files
 from inventra.streaming import sessions
 
@@ -300,3 +300,51 @@ def test_scope_predicates_reach_the_scan(spark, tmp_path):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(relative_path,a/)" in plan and "GreaterThanOrEqual(size_bytes,3)" in plan
     assert kept.count() == 1
+
+
+def test_review_facets_join_and_compare(spark):
+    rows = [(1, "REVIEW_SAFE", 0.9, "R1", "s", "a/x.txt", ".txt", 10, 5.0), (2, "PROTECTED", 0.5, "R2", "t", "a", ".key", 20, 6.0), (3, "REVIEW_SAFE", 0.7, "R1", "s", "ab/y.md", ".md", 30, None), (4, None, None, None, "s", "b/z", "", None, 7.0)]
+    c = spark.createDataFrame(rows, "entry_id long, classification string, confidence double, reason string, source_root string, relative_path string, suffix string, size_bytes long, modified_at double")
+    d = spark.createDataFrame([(1, "APPROVE", True), (2, "REJECT", False)], "entry_id long, decision string, stale boolean")
+    one = spark.createDataFrame([(3,), (3,), (4,)], "entry_id long")
+    cases = [
+        ({}, {1, 2, 3, 4}), ({"classification": "REVIEW_SAFE"}, {1, 3}), ({"source_root": "t"}, {2}), ({"minimum_confidence": 0.7}, {1, 3}), ({"maximum_confidence": 0.7}, {2, 3}), ({"suffix": ".TXT"}, {1}),
+        ({"minimum_size": 20}, {2, 3}), ({"maximum_size": 20}, {1, 2}), ({"decision": "APPROVE"}, {1}), ({"reason": "R2"}, {2}), ({"modified_from": 6.0}, {2, 4}), ({"modified_to": 6.0}, {1, 2}),
+        ({"duplicate_only": True}, {3, 4}), ({"project_only": True}, {3, 4}), ({"stale": True}, {1}), ({"stale": False}, {2}), ({"protected": True}, {2}), ({"protected": False}, {1, 3, 4}), ({"top_level": "a"}, {1, 2}), ({"actionable": True}, {3}),
+    ]
+    for facets, want in cases:
+        got = [r.entry_id for r in reports.review_filter(c, d, one, one, **facets).collect()]
+        assert sorted(got) == sorted(want), facets
+
+
+def test_assertions_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reports, "PATTERN_BLOCK", 3)
+    e = spark.createDataFrame([(1, "a/b10/c", "h1"), (2, "x", None), (3, None, "h2")], "entry_id long, relative_path string, full_hash string")
+    a = spark.createDataFrame([(f"n{i}", "PATH_PATTERN", f"b{i}") for i in range(20)] + [("bad", "CONTENT_OBJECT", "h2"), ("none", "PATH_PATTERN", None)], "assertion string, scope_type string, scope_value string")
+    assert sorted((r.entry_id, r.assertion) for r in reports.assertions(e, a).collect()) == [(1, "n1"), (1, "n10"), (3, "bad")]
+    assert reports.assertions(e, a.limit(0)).count() == 0
+
+
+def test_export_digest_ignores_order_and_tells_nulls(spark):
+    rows = [(1, "a", "b"), (1, "ab", None), (2, None, "b"), (2, "null", "b")]
+    kind = "session long, x string, y string"
+    got = [{r.session: (r.decisions, r.digest) for r in reports.export_digest(spark.createDataFrame(x, kind).repartition(n), "session", "x", "y").collect()} for x, n in ((rows, 1), (rows[::-1], 3), ([(1, "a", "b"), (1, "ab", ""), *rows[2:]], 2))]
+    assert got[0] == got[1] and got[0][1] != got[2][1] and got[0][2] == got[2][2] and got[0][1][0] == 2
+
+
+def test_typed_edges(spark):
+    kind = "id long, source_type string, source_id long, target_type string, target_id long, relationship_type string, version int, confidence double"
+    old = spark.createDataFrame([(1, "ENTRY", 1, "ENTRY", 2, "COPY", 1, 0.5), (2, "ENTRY", 2, "PROJECT", 2, "IN", 1, 0.5)], kind)
+    new = spark.createDataFrame([(8, "ENTRY", 1, "ENTRY", 2, "COPY", 1, 0.2), (9, "ENTRY", 1, "ENTRY", 2, "COPY", 2, 1.0)], kind)
+    assert sorted((r.id, r.version, r.confidence) for r in graph.upsert(old, new).collect()) == [(1, 1, 0.2), (2, 1, 0.5), (9, 2, 1.0)]
+    with pytest.raises(Exception, match="between 0 and 1"):
+        graph.upsert(old, new.withColumn("confidence", new.confidence + 1)).collect()
+    nodes = spark.createDataFrame([("ENTRY", 1), ("ENTRY", 2), ("ENTRY", 2)], "type string, id long")
+    assert [r.id for r in graph.live_edges(old, nodes).collect()] == [1]
+    assert {r.label for r in graph.labels(nodes, nodes.where("id = 1").selectExpr("type", "id", "'one' AS name").distinct()).collect()} == {"one", "ENTRY 2"}
+
+
+def test_run_deltas_are_null_where_contents_are_unknown(spark):
+    t = spark.createDataFrame([("s", 1, 2, True, 10), ("s", 2, 5, True, 30), ("s", 3, 0, False, 5), ("t", 1, 1, True, 1)], "source string, run int, duplicate_groups long, identity_available boolean, reviewable_bytes long")
+    got = sorted((r.source, r.run, r.previous, r.duplicate_groups, r.reviewable_bytes) for r in reports.run_deltas(t, "source", "run").collect())
+    assert got == [("s", 2, 1, 3, 20), ("s", 3, 2, None, -25)]
