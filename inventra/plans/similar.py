@@ -10,6 +10,7 @@ from inventra.operators import descriptors as de
 from inventra.operators import similarity as sm
 from inventra.operators import versions as ve
 from inventra.plans.registry import query
+from inventra.sources import files
 from inventra.sources.bindings import CHUNKS, ENTRIES, chunks, descriptors, entries, spread, table
 
 _TOK = r"tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)"
@@ -189,3 +190,19 @@ def fuzzy_buckets(spark: SparkSession, sf: str) -> DataFrame:
 def filename_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Names that share a stem, each name once; pairs as in version_pairs."""
     return ve.name_similarity(entries(spark, sf))
+
+
+@query("SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS digest, CASE WHEN text <> '' THEN strlen(text) END AS payload FROM documents")
+def audio_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as the payload of an audio file, with tags before and after it or not."""
+    tagged = "concat(IF(doc_id % 3 = 0, X'', concat(X'4944330400000000022C', cast(repeat('x', 300) AS BINARY))), cast(text AS BINARY), IF(doc_id % 2 = 0, cast(concat('TAG', repeat('y', 125)) AS BINARY), X''))"
+    d = table(spark, sf, "documents").select("doc_id", F.expr(tagged).alias("content")).select("doc_id", files.audio_payload("content").alias("p"))
+    return d.select("doc_id", F.sha2("p", 256).alias("digest"), F.length("p").alias("payload"))
+
+
+@query("SELECT p_partkey, sha256(p_partkey || chr(31) || p_brand || chr(30) || p_size || chr(31) || 'a,b' || chr(30)) AS digest FROM part")
+def tabular_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rows for each part, as comma- or tab-separated text."""
+    t = table(spark, sf, "part").selectExpr("p_partkey", "IF(p_partkey % 2 = 0, concat('\"', p_partkey, '\", ', p_brand, ' \r\n', p_size, ',\"a,b\"\n'), concat(p_partkey, '\t', p_brand, '\n', p_size, '\t a,b')) AS t", "IF(p_partkey % 2 = 0, '.csv', '.TSV') AS suffix")
+    digest = F.pandas_udf(files.tabular_digest, "string")
+    return t.select("p_partkey", digest("t", "suffix").alias("digest"))

@@ -348,3 +348,29 @@ def test_run_deltas_are_null_where_contents_are_unknown(spark):
     t = spark.createDataFrame([("s", 1, 2, True, 10), ("s", 2, 5, True, 30), ("s", 3, 0, False, 5), ("t", 1, 1, True, 1)], "source string, run int, duplicate_groups long, identity_available boolean, reviewable_bytes long")
     got = sorted((r.source, r.run, r.previous, r.duplicate_groups, r.reviewable_bytes) for r in reports.run_deltas(t, "source", "run").collect())
     assert got == [("s", 2, 1, 3, 20), ("s", 3, 2, None, -25)]
+
+
+def test_normalisers_of_packages_tables_and_audio(spark):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def package(members, method):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            for name, text in members:
+                z.writestr(name, text)
+        return out.getvalue()
+
+    own = [("word/document.xml", "<a/>"), ("word.xml", "x"), ("docProps/core.xml", "now")]
+    a, b = package(own, zipfile.ZIP_STORED), package([("docProps/app.xml", "later"), *own[1::-1]], zipfile.ZIP_DEFLATED)
+    got = files.package_digest(pd.Series([a, b, package(own[:1], zipfile.ZIP_STORED), b"PK none", None]))
+    assert got[0] == got[1] != got[2] and got[2] and got[3] is None and got[4] is None
+    t = files.tabular_digest(pd.Series(['a ,"b"\r\nc,d', "a\tb\nc\td\n", "a,b\n\nc,d", "", None]), pd.Series([".csv", ".TSV", None, ".csv", ".csv"]))
+    assert t[0] == t[1] != t[2] and t[2] and t[3] is None and t[4] is None
+    head, tail = b"ID3\x04\x00\x00\x00\x00\x01\x00" + b"h" * 128, b"TAG" + b"t" * 125
+    cases = [(head + b"payload" + tail, b"payload"), (b"payload", b"payload"), (head + b"p", b"p"), (head, None), (head + tail, None), (b"ID3", b"ID3"), (b"", None), (None, None), (b"q" + tail, b"q")]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, content binary")
+    rows = {r.i: r.p for r in df.select("i", files.audio_payload("content").alias("p")).collect()}
+    assert [None if rows[i] is None else bytes(rows[i]) for i in range(len(cases))] == [want for _, want in cases]
