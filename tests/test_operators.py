@@ -374,3 +374,23 @@ def test_normalisers_of_packages_tables_and_audio(spark):
     df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, content binary")
     rows = {r.i: r.p for r in df.select("i", files.audio_payload("content").alias("p")).collect()}
     assert [None if rows[i] is None else bytes(rows[i]) for i in range(len(cases))] == [want for _, want in cases]
+
+
+@pytest.mark.parametrize("most", [1, 2, 16])
+def test_lineage_is_that_of_a_walk_over_all_paths(spark, most):
+    """A chain deeper than the bound, a node with two parents, a repeated link, a cycle, a node without a name and roots."""
+    links = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("d", "n3"), ("d", "n17"), ("d", "n17"), ("x", "y"), ("y", "x"), (None, "n18"), ("n20", None), ("alone", None), (None, None)]
+    want, level = [], [(n, p, 1) for n, p in links if p is not None]
+    while level:
+        want += level
+        level = [(n, q, depth + 1) for n, a, depth in level if depth < most for m, q in links if m == a and q is not None]
+    got = [tuple(r) for r in graph.lineage(spark.createDataFrame(links, "node string, parent string"), most).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lineage_of_more_than_a_million_rows(spark):
+    leaves = spark.range(600_000).selectExpr("concat('c', id) AS node", "concat('n', id % 10) AS parent")
+    inner = spark.range(10).selectExpr("concat('n', id) AS node", "'r' AS parent")
+    got = graph.lineage(leaves.unionByName(inner)).groupBy("depth", "ancestor").count().collect()
+    want = {(1, f"n{i}"): 60_000 for i in range(10)} | {(2, "r"): 600_000, (1, "r"): 10}
+    assert {(r["depth"], r["ancestor"]): r["count"] for r in got} == want
