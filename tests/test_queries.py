@@ -29,6 +29,23 @@ def test_query(spark, sf_dir, duck, name):
     assert got[1] == want[1]
 
 
+def test_graph_neighbours_of_ids_that_overlap(spark, tmp_path):
+    """Customers from 100,000 on, one without a customer row, one without orders, a supplier below zero and lines without an order."""
+    con = duckdb.connect()
+    rows = {
+        "customer": "SELECT unnest([0, 50, 200, 99950, 100000, 100050])::BIGINT AS c_custkey",
+        "orders": "SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8])::BIGINT AS o_orderkey, unnest([0, 50, 150, 51, 99950, 100000, 100050, NULL])::BIGINT AS o_custkey",
+        "lineitem": "SELECT unnest([1, 2, 2, 3, 4, 5, 6, 7, 7, 8, 9])::BIGINT AS l_orderkey, unnest([0, 50, 50, 7, -50, 50, 0, 50, -100, 9, 50])::BIGINT AS l_suppkey, 'R' AS l_returnflag, 0.05::DOUBLE AS l_discount",
+    }
+    for name, sql in rows.items():
+        con.execute(f"CREATE TABLE {name} AS {sql}")
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = frame_of(catalog.QUERIES["graph_neighbours"](spark, str(tmp_path)))
+    want = frame_of(con.execute(catalog.ORACLES["graph_neighbours"]).fetchdf())
+    assert got == want
+    assert {r[got[0].index("node")] for r in got[1]} == {"0", "50", "150", "99950", "99900"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
